@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, flac, mixing, quality, toxicity
+from tidemark.llm import bpe, flac, imatch, jaccard, mixing, pii, quality, toxicity
 from tidemark.llm.common import documents, table
 
 #: The rank file and the pattern that op8 and the pipeline encode by.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compared(documents(spark, sf_dir))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), 4, 85, 100)
+
+
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(documents(spark, sf_dir))
 
@@ -22,6 +30,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.spans(docs, pii.fit(docs))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), RANKS, PATTERN)
 
@@ -35,8 +48,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_flac, op6_toxicity, op8_byte_bpe, op9_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_imatch, op2_ngram_jaccard, op4_flac, op6_toxicity, op7_pii, op8_byte_bpe, op9_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_imatch": imatch.SQL}
