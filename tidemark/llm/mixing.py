@@ -126,9 +126,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rate: float = RATE,
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    chosen = mix(docs, **options).where("times > 0").select("doc_id", "times")
-    chosen = chosen.groupBy("doc_id").agg(F.max("times").alias("times"))
-    return docs.join(chosen, docs.doc_id.eqNullSafe(chosen.doc_id)).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
+    chosen = mix(docs, **options).where("times > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("times").alias("_mix_times"))
+    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int"))).alias("_mix_time")).select(docs.columns)
 
 
 def result(docs: DataFrame) -> DataFrame:
