@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,13 @@ def folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once and held in the shared folder, so that a lost executor loses nothing."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder(df.sparkSession))
-    return df.checkpoint()
+    """df computed once: a table in the shared folder, so that a lost executor loses nothing. It goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(text: Column) -> Column:

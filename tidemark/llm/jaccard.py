@@ -9,11 +9,13 @@ rare tokens are indexed singly, frequent ones in pairs and very frequent ones in
 subclasses by hash so that their number stays linear. The prefix is extended until the rare tokens plus, in
 each subclass, the tokens beyond k - 1 number e + 1: no set of e missing tokens then avoids a shared entry.
 
-Equal sets become one representative first. Entries with one representative drop out. Of each other entry
-a pivot is compared with the rest, in ROUNDS rounds with other pivots; what is then connected needs no more
-comparison. Remaining pairs of entries of at most COLD representatives are joined; larger entries are
-compared block by block within the groups that they connect, where not all belong to one component. Links
-verified are exact set comparisons.
+Equal sets become one representative first. Entries with one representative drop out. Those of at most COLD
+representatives give their pairs; of a larger entry ROUNDS pivots are paired with the rest. A pair goes on
+if sizes allow a link and so do parity bitmaps of the sets (bits of equal place cancel, so differing bits
+never exceed differing tokens). Pairs that are left are verified on the sets themselves. Larger entries
+that hold more than one component yet are then compared within, two blocks at a time, by size and bitmap: at
+first a forest of possible pairs is verified, which joins most components, then every possible pair across
+the rest. So nothing is left out.
 
 Null and empty texts have no shingles, no links and n_shingles 0. A null doc_id is a document of its own for
 which component_id is null. Repeated rows of one doc_id are returned each; their sets count as the doc_id's.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Hasher, kept, mixed, pieces, utf8, words
 from tidemark.llm.components import components
 
-BUCKETS_BITS, COLD, ROUNDS, BLOCK = 20, 32, 2, 128
+BUCKETS_BITS, COLD, ROUNDS, BLOCK = 20, 32, 6, 512
 #: Times the mean count of a bucket, plus the second number, above which tokens are taken in pairs and in triples.
 FREQUENT, VERY_FREQUENT = (2, 64), (8, 2048)
 _PLACE = mixed(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
@@ -74,15 +76,33 @@ def _digest(x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return sums
 
 
+def parities(x: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bitmap for each set, of a power of two of at least two bits a token (64 at least): the parity of the tokens at each place."""
+    n = np.diff(at)
+    size = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    place = np.repeat(begin[:-1], n) + (x & (np.repeat(size, n) - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(begin[-1])) & 1).astype(np.uint8)).tobytes()
+    return [packed[i:j] for i, j in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist(), strict=True)]
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Places where two parity bitmaps differ; the longer one is folded to the other's size first."""
+    u, v = (np.frombuffer(z, np.uint8) for z in sorted((a, b), key=len))
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def summaries(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and two digests of each document's set."""
+    """doc_id, n, two digests and a parity bitmap of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             x, at = shingle_sets(*utf8(b), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digest(x, at))], ["doc_id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digest(x, at)), pa.array(parities(x, at), pa.binary())], ["doc_id", "n", "d1", "d2", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary")
 
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
@@ -207,7 +227,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(np.diff(at), pa.int64()), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "n", "tokens"])
 
     found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id long, n long, tokens binary")
-    return found.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return found.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("n", "tokens")).alias("s")).select("id", "s.*")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -219,54 +239,77 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * same >= num * (len(a) + len(b) - same)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The distinct pairs a, b that link."""
+def possible(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs a, b whose sizes and bitmaps (id, n, bits) allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(2), b.column(3)
-            ok = [_linked(np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64), num, den) for u, v in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
+            total = np.asarray(b.column(2)) + np.asarray(b.column(3))
+            most = total - 2 * -(-num * total // (num + den))  # tokens in one set only
+            ok = [_differing(u, v) <= m for u, v, m in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in range(2)], ["a", "b"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
+    left, right = (info.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
     near = pairs.join(left, "a").join(right, "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-    return near.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
-def _blocked(buckets: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components among representatives that large entries connect; of each pair of blocks a spanning forest."""
-    stars = buckets.groupBy("sig").agg(F.min("id").alias("a"))
-    group = components(buckets.join(stars, "sig").select("a", F.col("id").alias("b"))).withColumnRenamed("comp", "grp")
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs a, b that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2), b.column(3)
+            ok = [_linked(np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64), num, den) for u, v in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in range(2)], ["a", "b"])
+
+    left, right = (sets.select(F.col("id").alias(k), F.col("tokens").alias(f"tokens{k}")) for k in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "tokensa", "tokensb").mapInArrow(run, "a long, b long")
+
+
+def _across(rows: list[tuple[int, int, int, int, bytes]], same_block: bool, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
+    """Possible pairs of different components among rows of id, comp, block, n and bits: all, or a spanning forest of them."""
+    ids, comp, block, n = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+    wide = sorted({len(r[4]) for r in rows})
+    folded = {}  # for each bitmap size, the rows of that or a larger size, folded to it
+    for w in wide:
+        own = np.flatnonzero([len(r[4]) >= w for r in rows])
+        m = np.empty((len(own), w), np.uint8)
+        for i, r in enumerate(own):
+            m[i] = np.bitwise_xor.reduce(np.frombuffer(rows[r][4], np.uint8).reshape(-1, w), 0)
+        folded[w] = (own, m)
+    out = []
+    for i, r in enumerate(rows):
+        own, m = folded[len(r[4])]
+        ok = (comp[own] != comp[i]) & (n[own] * den >= n[i] * num) & (n[i] * den >= n[own] * num) & (same_block | (block[own] != block[i]))
+        ok &= (n[own] > n[i]) | (n[own] == n[i]) & (ids[own] < ids[i])  # each pair once, from its smaller set
+        at = own[ok]
+        if not at.size:
+            continue
+        total = n[at] + n[i]
+        near = at[np.bitwise_count(m[ok] ^ m[np.searchsorted(own, i)]).sum(1, dtype=np.int64) <= total - 2 * -(-num * total // (num + den))]
+        for j in near.tolist():
+            if comp[j] != comp[i]:
+                out.append((int(ids[i]), int(ids[j])))
+                if forest:
+                    comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def _blocked(group: DataFrame, comp: DataFrame, info: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Distinct possible pairs a, b across components among the representatives of each group (id, grp)."""
     own = kept(group.join(comp, "id", "left").select("id", "grp", F.coalesce("comp", "id").alias("comp")))
-    mixed_ = own.groupBy("grp").agg(F.count_distinct("comp").alias("c"), F.count("*").alias("m")).where("c > 1")
+    several = own.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low != high")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    # Blocks by component, so that those of a large component need not be compared with each other.
-    placed = own.join(mixed_, "grp").withColumn("block", F.pmod(F.xxhash64("comp"), blocks).cast("int"))
+    placed = own.join(several, "grp").join(info, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     ids = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    tiles = placed.select("id", "grp", "comp", "block", F.explode(ids).alias("t")).select("id", "grp", "comp", "block", "t.i", "t.j")
-    useful = tiles.groupBy("grp", "i", "j").agg(F.count_distinct("comp").alias("c")).where("c > 1").drop("c")
-    full = tiles.join(useful, ["grp", "i", "j"]).join(sets, "id")
+    tiles = placed.select("id", "grp", "comp", "block", "n", "bits", F.explode(ids).alias("t")).select("id", "grp", "comp", "block", "n", "bits", "t.i", "t.j")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = {c: c for c in pdf["comp"]}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        rows = sorted(zip(pdf["id"], pdf["comp"], pdf["block"], (np.frombuffer(t, np.uint64) for t in pdf["tokens"]), strict=True), key=lambda r: r[0])
-        diagonal, out = pdf["i"].iloc[0] == pdf["j"].iloc[0], []
-        for p, (a, ca, ba, x) in enumerate(rows):
-            for b, cb, bb, y in rows[:p]:
-                if (diagonal or ba != bb) and find(ca) != find(cb) and _linked(x, y, num, den):
-                    root[find(ca)] = find(cb)
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        rows = sorted(zip(pdf["id"], pdf["comp"], pdf["block"], pdf["n"], pdf["bits"], strict=True), key=lambda r: r[0])
+        return pd.DataFrame(_across(rows, bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]), num, den, forest), columns=["a", "b"]).astype("int64")
 
-    return full.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long")
+    return tiles.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -274,30 +317,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     rows = kept(summaries(docs, width))
     same = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = kept(rows.where("n > 0 and doc_id is not null").join(same, ["n", "d1", "d2"]).select("doc_id", "rep").distinct())
-    sigs = index(docs, width, num, den)
+    sigs = kept(index(docs, width, num, den))
     often = sigs.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    shared = sigs.join(often, "sig").join(reps, "doc_id").select("sig", F.col("rep").alias("id")).distinct()
-    shared = kept(shared)
-    sizes = shared.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = kept(shared.join(sizes, "sig"))
-    sets = kept(sets_of(docs, buckets.select("id").distinct(), width))
-    # One doc_id with several texts: its representatives are one document.
-    links = reps.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = kept(links)
-    comp = components(links)
+    shared = kept(sigs.join(often, "sig").join(reps, "doc_id").select("sig", F.col("rep").alias("id")).distinct())
+    buckets = kept(shared.join(shared.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"), "sig"))
+    cold, hot = buckets.where(F.col("m") <= COLD), buckets.where(F.col("m") > COLD)
+    pairs = cold.select("sig", F.col("id").alias("a")).join(cold.select("sig", F.col("id").alias("b")), "sig").where("a < b").select("a", "b")
     for r in range(ROUNDS):
-        now = buckets.join(comp, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
-        pivots = now.groupBy("sig").agg(F.min_by(F.struct(F.col("id").alias("a"), F.col("comp").alias("ca")), F.xxhash64(F.lit(r), "id")).alias("p"))
-        pairs = now.join(pivots, "sig").where("comp != p.ca").select("p.a", F.col("id").alias("b")).distinct()
-        links = kept(links.union(verified(pairs, sets, num, den)))
-        comp = kept(components(links))
-    now = buckets.where(F.col("m") <= COLD).join(comp, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
-    other = now.select("sig", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    pairs = now.join(other, "sig").where("id < b and comp != cb").select(F.col("id").alias("a"), "b").distinct()
-    links = kept(links.union(verified(pairs, sets, num, den)))
-    hot = buckets.where(F.col("m") > COLD)
+        pivots = hot.groupBy("sig").agg(F.min_by("id", F.xxhash64(F.lit(r), "id")).alias("p"))
+        pairs = pairs.union(hot.join(pivots, "sig").where("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
+    info = rows.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n", "bits")).alias("s")).select("id", "s.*")
+    near = kept(possible(pairs.distinct(), info, num, den))
+    ids = near.select(F.col("a").alias("id")).union(near.select("b")).union(hot.select("id")).distinct()
+    sets = kept(sets_of(docs, kept(ids), width))
+    copies = reps.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = kept(copies.union(verified(near, sets, num, den)))
     if hot.limit(1).count():
-        links = kept(links.union(_blocked(hot, components(links), sets, num, den)))
+        group = hot.select("id", F.col("sig").alias("grp"))
+        for forest in (True, False):
+            links = kept(links.union(verified(_blocked(group, components(links), info, num, den, forest), sets, num, den)))
     comp = components(links).withColumnRenamed("id", "doc_id")
     return rows.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
