@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Hasher, kept, mixed, pieces, utf8, words
 from tidemark.llm.components import components
 
-BUCKETS_BITS, COLD, ROUNDS, BLOCK = 20, 32, 6, 512
+BUCKETS_BITS, COLD, ROUNDS, BLOCK = 20, 32, 6, 4096
 #: Times the mean count of a bucket, plus the second number, above which tokens are taken in pairs and in triples.
 FREQUENT, VERY_FREQUENT = (2, 64), (8, 2048)
 _PLACE = mixed(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, flac, imatch, jaccard, mixing, pii, quality, toxicity
+from tidemark.llm import bpe, flac, imatch, jaccard, language, licences, mixing, pii, quality, toxicity
 from tidemark.llm.common import documents, table
 
 #: The rank file and the pattern that op8 and the pipeline encode by.
@@ -22,10 +22,18 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), 4, 85, 100)
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(documents(spark, sf_dir))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), language.fit(documents(spark, sf_dir)))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -48,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_imatch, op2_ngram_jaccard, op4_flac, op6_toxicity, op7_pii, op8_byte_bpe, op9_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_imatch, op2_ngram_jaccard, op3_licences, op4_flac, op5_language, op6_toxicity, op7_pii, op8_byte_bpe, op9_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
