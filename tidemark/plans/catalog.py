@@ -33,30 +33,30 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as dated items: day and a title of 80 characters."""
+    """documents as dated items: day and the MD5 sum of the whole text, by which equal items are known."""
     d = _read(spark, sf_dir, "documents")
-    return d.select("doc_id", "text", "lang", "source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.substring("text", 1, 80).alias("title"))
+    return d.select("doc_id", "text", "lang", "source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.md5(F.col("text").cast("binary")).alias("item"))
 
 
 def _daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
-_ITEMS = "(SELECT doc_id, text, lang, source, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS DATE) AS day, substring(text, 1, 80) AS title FROM documents)"
+_ITEMS = "(SELECT doc_id, text, lang, source, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS DATE) AS day, md5(text) AS item FROM documents)"
 _DAILY = "(SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)"
 _R = lambda x, k=4: f"(CAST(floor(({x}) * 1e{k} + 0.5) AS DOUBLE) / 1e{k})"
 _HITS = "(" + " UNION ALL ".join(f"SELECT '{k}' AS topic, * FROM {_ITEMS} WHERE regexp_matches(lower(text), '{topics.pattern(t)}')" for k, t in LEXICON.items()) + ")"
 
 
-@query(f"SELECT topic, day, count(*) AS occurrences, count(DISTINCT title) AS unique_items FROM {_HITS} GROUP BY ALL")
+@query(f"SELECT topic, day, count(*) AS occurrences, count(DISTINCT item) AS unique_items FROM {_HITS} GROUP BY ALL")
 def topic_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.daily_counts(topics.matched(_items(spark, sf_dir), "text", LEXICON), "day", "title")
+    return topics.daily_counts(topics.matched(_items(spark, sf_dir), "text", LEXICON), "day", "item")
 
 
-@query(f"SELECT topic, occurrences, unique_items, active_days, {_R('CAST(active_days AS DOUBLE) / n_days')} AS active_day_rate FROM (SELECT topic, count(*) AS occurrences, count(DISTINCT title) AS unique_items, count(DISTINCT day) AS active_days FROM {_HITS} GROUP BY topic), (SELECT count(DISTINCT day) AS n_days FROM {_ITEMS})")
+@query(f"SELECT topic, occurrences, unique_items, active_days, {_R('CAST(active_days AS DOUBLE) / n_days')} AS active_day_rate FROM (SELECT topic, count(*) AS occurrences, count(DISTINCT item) AS unique_items, count(DISTINCT day) AS active_days FROM {_HITS} GROUP BY topic), (SELECT count(DISTINCT day) AS n_days FROM {_ITEMS})")
 def topic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
-    return topics.totals(topics.matched(items, "text", LEXICON), "day", "title", items.agg(F.count_distinct("day").alias("n_days")))
+    return topics.totals(topics.matched(items, "text", LEXICON), "day", "item", items.agg(F.count_distinct("day").alias("n_days")))
 
 
 @query(f"SELECT topic, day, observed, CASE WHEN observed THEN coalesce(n, 0) END AS n FROM (SELECT DISTINCT event_type AS topic FROM events) CROSS JOIN (SELECT CAST(d AS DATE) AS day, CAST(d AS DATE) IN (SELECT CAST(ts AS DATE) FROM events) AS observed FROM (SELECT unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS d FROM events)) LEFT JOIN (SELECT event_type AS topic, day, n FROM {_DAILY}) USING (topic, day)")
@@ -75,9 +75,10 @@ def top_sources_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.top_sources(_read(spark, sf_dir, "documents"), "lang", "source", 5)
 
 
-@query(f"SELECT key, n, sources, days, {_R('CAST(n AS DOUBLE) / days')} AS density, CASE WHEN {_R('CAST(n AS DOUBLE) / days')} >= 2 AND sources >= 3 THEN 'syndicated' WHEN {_R('CAST(n AS DOUBLE) / days')} >= 1.2 THEN 'mixed' ELSE 'organic' END AS call FROM (SELECT trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS key, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT day) AS days FROM {_ITEMS} GROUP BY 1) WHERE key <> '' AND n > 1")
-def repeat_title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.repeats(_items(spark, sf_dir), norm_title(F.col("title")), "source", "day")
+@query(f"SELECT key, n, sources, days, {_R('CAST(n AS DOUBLE) / days')} AS density, CASE WHEN {_R('CAST(n AS DOUBLE) / days')} >= 2 AND sources >= 3 THEN 'syndicated' WHEN {_R('CAST(n AS DOUBLE) / days')} >= 1.2 THEN 'mixed' ELSE 'organic' END AS call FROM (SELECT CASE WHEN t = '' THEN '' ELSE md5(t) END AS key, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT day) AS days FROM (SELECT source, day, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM {_ITEMS}) GROUP BY 1) WHERE key <> '' AND n > 1")
+def repeat_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normal = norm_title(F.col("text"))
+    return topics.repeats(_items(spark, sf_dir), F.when(normal == "", "").otherwise(F.md5(normal.cast("binary"))), "source", "day")
 
 
 @query(f"SELECT event_type, day, {_R('CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w')} AS average, count(*) OVER w AS active_days, {_R('CAST(count(*) OVER w AS DOUBLE) / 7')} AS coverage, CAST(count(*) OVER w AS DOUBLE) / 7 >= 0.6 AS sufficient FROM {_DAILY} WINDOW w AS (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)")
@@ -148,22 +149,28 @@ def first_seen_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(day).alias("first_seen"), F.max(day).alias("last_seen"), F.count("*").alias("n"), F.max("o_orderkey").alias("last_key"))
 
 
-@query(f"WITH c AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 = 0), o AS (SELECT doc_id, source FROM documents WHERE doc_id % 10 <> 0), k AS (SELECT source, count(*) AS n FROM c GROUP BY source) SELECT doc_id, source, false AS is_backfill FROM c UNION ALL SELECT doc_id, source, true FROM (SELECT o.*, row_number() OVER (PARTITION BY o.source ORDER BY doc_id) AS r, coalesce(k.n, 0) AS n FROM o LEFT JOIN k USING (source)) WHERE r <= 20 - n")
+@query("WITH c AS (SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), o AS (SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), k AS (SELECT source, count(*) AS n FROM c GROUP BY source) SELECT doc_id, source, false AS is_backfill FROM c UNION ALL SELECT doc_id, source, true FROM (SELECT o.*, row_number() OVER (PARTITION BY o.source ORDER BY doc_id) AS r, coalesce(k.n, 0) AS n FROM o LEFT JOIN k USING (source)) WHERE r <= 20 - n")
 def backfill_min_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").select("doc_id", "source")
-    return merge.filled_up(d.where("doc_id % 10 = 0"), d.where("doc_id % 10 != 0"), "source", "doc_id", [F.col("doc_id")], 20)
+    """Labelled documents, filled up from the others to 20 a source."""
+    d, rated = _read(spark, sf_dir, "documents").select("doc_id", "source"), _read(spark, sf_dir, "labels").select("doc_id")
+    return merge.filled_up(d.join(rated, "doc_id", "left_semi"), d, "source", "doc_id", [F.col("doc_id")], 20)
 
 
-@query("SELECT doc_id, left(text, 40) NOT IN (SELECT left(text, 40) FROM benchmark WHERE text IS NOT NULL) AS is_new FROM documents")
+@query("SELECT doc_id, text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL) AS is_new FROM documents")
 def novel_items_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("key"))
-    return merge.novel(d, _read(spark, sf_dir, "benchmark").select(F.substring("text", 1, 40).alias("key")), "key").select("doc_id", "is_new")
+    key = F.md5(F.col("text").cast("binary")).alias("key")
+    return merge.novel(_read(spark, sf_dir, "documents").select("doc_id", key), _read(spark, sf_dir, "benchmark").select(key), "key").select("doc_id", "is_new")
 
 
-@query(f"WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substring(text, 1, 200)), '[a-z0-9]{{3,}}')) AS t FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(substring(text, 1, 200)), '[a-z0-9]{{3,}}')) AS t FROM benchmark), x AS (SELECT doc_id, len(d.t) AS na, unnest(d.t) AS w FROM d), y AS (SELECT item_id, len(b.t) AS nb, unnest(b.t) AS w FROM b), j AS (SELECT doc_id, max(j) AS j FROM (SELECT doc_id, CAST(count(*) AS DOUBLE) / (na + nb - count(*)) AS j FROM x JOIN y USING (w) GROUP BY doc_id, item_id, na, nb) GROUP BY doc_id) SELECT doc_id, {_R('CASE WHEN len(t) = 0 THEN 0.0::DOUBLE ELSE 1 - coalesce(j, 0.0::DOUBLE) END')} AS novelty FROM d LEFT JOIN j USING (doc_id)")
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(f"WITH d AS (SELECT page_id, list_distinct(regexp_extract_all(lower({_TITLE}), '[a-z0-9]{{3,}}')) AS t FROM pages), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS t FROM benchmark), x AS (SELECT page_id, len(d.t) AS na, unnest(d.t) AS w FROM d), y AS (SELECT item_id, len(b.t) AS nb, unnest(b.t) AS w FROM b), j AS (SELECT page_id, max(j) AS j FROM (SELECT page_id, CAST(count(*) AS DOUBLE) / (na + nb - count(*)) AS j FROM x JOIN y USING (w) GROUP BY page_id, item_id, na, nb) GROUP BY page_id) SELECT page_id, {_R('CASE WHEN len(t) = 0 THEN 0.0::DOUBLE ELSE 1 - coalesce(j, 0.0::DOUBLE) END')} AS novelty FROM d LEFT JOIN j USING (page_id)")
 def title_jaccard_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (_read(spark, sf_dir, t).select(k, tokens(F.substring("text", 1, 200)).alias("tokens")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
-    return merge.novelty(a, "doc_id", b, "item_id").select("doc_id", half_up(F.col("n")).alias("novelty"))
+    """Whole titles of pages against whole texts of the older corpus."""
+    a = _read(spark, sf_dir, "pages").select("page_id", tokens(page_title(F.col("html"))).alias("tokens"))
+    b = _read(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("tokens"))
+    return merge.novelty(a, "page_id", b, "item_id").select("page_id", half_up(F.col("n")).alias("novelty"))
 
 
 _URL = r"""CASE WHEN regexp_matches(url, '^https?://[^/?#\s@]+') THEN lower(regexp_extract(b, '^(https?)://', 1)) || '://' || regexp_replace(lower(regexp_extract(b, '^https?://([^/?#:]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(b, '^https?://[^/?]+([^?]*)', 1), '/+$', '')
@@ -205,9 +212,10 @@ def lww_tombstone_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.without_deleted(merge.newest_wins(last("view", "stamp"), last("click", "stamp"), "user_id", "stamp", "kind"), last("error", "deleted"), "user_id", "stamp", "deleted")
 
 
-@query("WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(substring(text, 1, 80)), '[a-z0-9]{3,}'))) AS w FROM documents) SELECT x.w AS a, y.w AS b, count(DISTINCT doc_id) AS items FROM t x JOIN t y USING (doc_id) WHERE x.w < y.w GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5")
+@query(f"WITH t AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(lower({_TITLE}), '[a-z0-9]{{3,}}'))) AS w FROM pages) SELECT x.w AS a, y.w AS b, count(DISTINCT page_id) AS items FROM t x JOIN t y USING (page_id) WHERE x.w < y.w GROUP BY ALL HAVING count(DISTINCT page_id) >= 5")
 def token_pair_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.pairs(_items(spark, sf_dir), "doc_id", tokens(F.col("title")), 5)
+    """Pairs of words of whole page titles."""
+    return topics.pairs(_read(spark, sf_dir, "pages"), "page_id", tokens(page_title(F.col("html"))), 5)
 
 
 @query(f"SELECT k.event_type, coalesce(c.items, 0) AS items, coalesce({_R('CAST(c.high AS DOUBLE) / c.items')}, 0.0::DOUBLE) AS high_rate FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'absent']) AS event_type) k LEFT JOIN (SELECT event_type, count(*) AS items, count(*) FILTER (value > 50) AS high FROM events GROUP BY event_type) c USING (event_type)")
