@@ -8,18 +8,22 @@ ones meet several windows), so a band is shared with a probability of at least 1
 retrieve is verified: the share of the template's shingles that the whole document contains must be 0.8 or more.
 
 Documents that have no shingle of any template cannot contain one and are left out before windows are cut
-(templates are a small fixed table). Null, empty and shorter texts have no matches. One row for
-each document and template; repeated rows of a doc_id count as one document.
+(templates are a small fixed table, whose shingles are looked for as phrases of the text). Null, empty and
+shorter texts have no matches, nor have rows without doc_id. One row for each document and template;
+repeated rows of a doc_id count as one document.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii
+from tidemark.llm.common import kept, lower_ascii
 
 WIDTH, WINDOW, STEP, BANDS, LEAST = 5, 8, 4, 24, 0.8
+SPACE = r"\x20\x09-\x0D"
 #: Notices of common licences.
 TEMPLATES = {
     "mit": "Released under the MIT License.",
@@ -31,13 +35,27 @@ TEMPLATES = {
 }
 
 
+def bare(text: Column) -> Column:
+    """The words of a text with one space between them, and one at each end."""
+    low = lower_ascii(F.coalesce(text, F.lit("")))
+    # A run of punctuation is looked at only where a word begins or where it follows a letter or digit, so this is linear.
+    ends = rf"(?<![^{SPACE}])[^a-z0-9{SPACE}]++|(?<=[a-z0-9])[^a-z0-9{SPACE}]++(?![^{SPACE}])"
+    return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(low, ends, ""), F.lit(" ")), f"[{SPACE}]+", " ")
+
+
+def runs(text: Column) -> Column:
+    """All runs of WIDTH words of a bare text, in order."""
+    words = F.split(F.trim(text), " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (WIDTH - 1), F.lit(1)))
+    return F.filter(F.transform(starts, lambda i: F.slice(words, i, WIDTH)), lambda w: F.size(w) == WIDTH)
+
+
 def shingled(rows: DataFrame, name: str) -> DataFrame:
-    """rows, their text replaced by the hashes of all runs of WIDTH words, in order. The words are a column first: inside the function for each run they would be cut anew each time."""
-    words = F.filter(F.transform(F.split(lower_ascii(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[^a-z0-9]+|[^a-z0-9]+$", "")), lambda w: w != "")
+    """rows, their bare text replaced by the hashes of its runs of WIDTH words. The words are a column first: inside the function for each run they would be cut anew each time."""
     last = F.size("_words") - (WIDTH - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_words", i, WIDTH), " ")))
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_words", i, WIDTH), " ")))
     others = [c for c in rows.columns if c != "text"]
-    return rows.select(*others, words.alias("_words")).select(*others, F.when(last > 0, runs).otherwise(F.array().cast("array<bigint>")).alias(name))
+    return rows.select(*others, F.split(F.trim("text"), " ").alias("_words")).select(*others, F.when(last > 0, hashes).otherwise(F.array().cast("array<bigint>")).alias(name))
 
 
 def bands(hashes: Column) -> Column:
@@ -49,10 +67,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, template, containment and first_word (place of the first shared shingle, from 0)."""
     spark = docs.sparkSession
     rows = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(v).alias("text")) for k, v in templates.items()))
-    known = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", "t.text")
-    known = shingled(known, "own").select("template", F.array_distinct("own").alias("own"))
-    every = known.select(F.array_distinct(F.flatten(F.collect_list("own"))).alias("every"))
-    found = shingled(docs.select("doc_id", "text"), "all").join(F.broadcast(every), F.arrays_overlap("all", "every")).select("doc_id", "all")
+    given = spark.range(1).select(F.explode(rows).alias("t")).select("t.template", bare(F.col("t.text")).alias("text"))
+    known = shingled(given, "own").select("template", F.array_distinct("own").alias("own"))
+    phrases = given.select(F.explode(runs(F.col("text"))).alias("run")).select(F.array_join("run", " ").alias("run")).distinct()
+    # One pattern: the filter moves below the projection, and each condition of its own would make the bare text anew.
+    any_of = f" (?:{'|'.join(re.escape(r.run) for r in phrases.sort('run').collect())}) "
+    found = shingled(kept(docs.select("doc_id", bare(F.col("text")).alias("text")).where(F.col("text").rlike(any_of))), "all")
     starts = F.sequence(F.lit(1), F.size("all"), F.lit(STEP))
     windows = found.select("doc_id", F.explode(F.transform(starts, lambda i: F.slice("all", i, WINDOW - WIDTH + 1))).alias("w"))
     keys = windows.select("doc_id", F.explode(bands(F.col("w"))).alias("b")).select("doc_id", "b.*")
