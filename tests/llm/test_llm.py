@@ -121,6 +121,16 @@ def test_pii_field_carries_labels_to_other_spellings():
     assert pii.redact(text, every) == "card [CARD], later [CARD], but 1234567890"
 
 
+@pytest.mark.parametrize("gap", [" and ", " some words that stand between one place and the next one, "])
+def test_pii_field_reaches_all_spellings_of_a_proven_number(gap):
+    model = pii.train([f"call +1 415 555 {i} or card 4111 1111 1111 1111, mail a{i}@b.org, order {i}.2222.{i}.7777 or {i}--3333--2222--{i}" for i in range(1000, 1040)])
+    other = [f"4111{a}1111{b}1111{c}1111" for a in (".", "..", "--") for b in (".", "..", "--") for c in (".", "..", "--", "-.")][:30]
+    for proven in (0, 15, 30):
+        text = gap.join([*other[:proven], "4111 1111 1111 1111", *other[proven:]])
+        assert [text[s:e] for _, s, e in model.spans([text, "1234567890"])[0][1]] == [*other[:proven], "4111 1111 1111 1111", *other[proven:]]
+    assert model.spans([gap.join(other)]) == [([], [])]
+
+
 def test_mixing_meets_targets(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = mixing.mix(docs.union(frame(spark, HARD).selectExpr("doc_id + 100000", "text", "lang", "source", "n_chars"))).collect()

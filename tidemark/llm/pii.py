@@ -3,10 +3,12 @@
 Base spans come from fixed patterns for e-mail, IP, card and phone and always stay. Mentions that look alike
 but miss the pattern (an address without a full domain, a digit string of 7 or more digits) are the other
 nodes of each document's field. Consecutive mentions at most NEAR characters apart share a chain potential;
-mentions with the same key (last 7 digits, or the part before @), however far apart, share a skip potential.
-Loopy sum-product messages run over all documents of a piece at once; base nodes are observed, and another
-mention becomes a span where a kind's marginal reaches 0.5. So a number that is a proven card or phone in one
-place is found in its other spellings too, and a digit string without such a companion is left alone.
+mentions with the same key (last 7 digits, or the part before @), however far apart, share a skip potential:
+each with every base node of its key (these are observed, so they count as votes for their kinds) and with the
+nearest earlier mention that isn't one. Loopy sum-product messages run over all documents of a piece at once,
+each document until no message of its own moves by TOLERANCE; another mention becomes a span where a kind's
+marginal reaches 0.5. So a number that is a proven card or phone in one place is found in its other spellings
+too, and a digit string without such a companion is left alone.
 
 Weights are learned from at most TRAIN_DOCS documents (smallest doc_id hash): unary ones by multinomial
 logistic regression of the base kinds and of unmatched mentions on their shape; chain and skip potentials
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pieces, sampled, texts
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR, ROUNDS, TRAIN_DOCS = 40, 8, 3000
+NEAR, TOLERANCE, TRAIN_DOCS = 40, 1e-6, 3000
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -112,23 +114,30 @@ def _shape(piece: str) -> list[float]:
     return [1, "@" in piece, piece[0] == "+", piece.count(".") == 3, "." in piece, " " in piece or "-" in piece, digits in range(7, 11), digits in range(11, 16), digits in range(16, 20), digits > 19]
 
 
-def field(many: list[str]) -> tuple[list[list[Span]], list[list[Span]], np.ndarray, np.ndarray, np.ndarray]:
-    """Base spans and nodes of each text (base first), the shapes of all nodes, and chain and skip edges."""
+def field(many: list[str]) -> tuple[list[list[Span]], list[list[Span]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base spans and nodes of each text (base first), the shapes of all nodes, chain and skip edges, and text and key of all nodes as numbers."""
     base = [base_spans(t) for t in many]
     nodes = [sorted(b + mentions(t, b), key=lambda x: x[1:]) for t, b in zip(many, base, strict=True)]
-    shapes, chain, skip, n = [], [], [], 0
-    for t, own in zip(many, nodes, strict=True):
+    shapes, chain, skip, of, n, keys = [], [], [], [], 0, 0
+    for d, (t, own) in enumerate(zip(many, nodes, strict=True)):
         last: dict[str, int] = {}
-        for i, (_, start, end) in enumerate(own):
+        unproven: dict[str, int] = {}
+        number: dict[str, int] = {}
+        for i, (kind, start, end) in enumerate(own):
             piece = t[start:end]
             shapes.append(_shape(piece))
             if i and start - own[i - 1][2] <= NEAR:
                 chain.append((n + i - 1, n + i))
             if (k := _key(piece)) in last:
                 skip.append((last[k], n + i))
+            if kind < 0:
+                if unproven.get(k, last.get(k)) != last.get(k):
+                    skip.append((unproven[k], n + i))
+                unproven[k] = n + i
             last[k] = n + i
-        n += len(own)
-    return base, nodes, np.array(shapes, float).reshape(-1, 10), np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 2)
+            of.append((d, keys + number.setdefault(k, len(number))))
+        n, keys = n + len(own), keys + len(number)
+    return base, nodes, np.array(shapes, float).reshape(-1, 10), np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 2), np.array(of, int).reshape(-1, 2)
 
 
 class Model:
@@ -137,32 +146,46 @@ class Model:
     def __init__(self, unary: np.ndarray, chain: float, skip: float):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, shapes: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Loopy belief propagation; observed: the label of base nodes, -1 for others."""
-        own = shapes @ self.unary
-        own[observed >= 0] = -40.0
-        own[np.flatnonzero(observed >= 0), observed[observed >= 0]] = 0.0
+    def marginals(self, shapes: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Loopy belief propagation; observed: the label of base nodes, -1 for others; of: text and key of each node."""
+        own, proven = shapes @ self.unary, observed >= 0
+        votes = np.zeros((of[:, 1].max() + 1, own.shape[1]))
+        np.add.at(votes, (of[proven, 1], observed[proven]), 1)
+        own += self.skip * votes[of[:, 1]]  # what the skip edges to all base nodes of the key say
+        own[proven] = -40.0
+        own[np.flatnonzero(proven), observed[proven]] = 0.0
+        skip = skip[~proven[skip].any(1)]
         pairs = np.concatenate([chain, skip])
         a, b = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
         back = np.roll(np.arange(len(a)), len(pairs))
         gain = np.expm1(np.tile(np.repeat([self.chain, self.skip], [len(chain), len(skip)]), 2))[:, None]
-        message, belief = np.zeros((len(a), own.shape[1])), own
-        for _ in range(ROUNDS if len(pairs) else 0):
-            out = belief[a] - message[back]
+        message, belief = np.zeros((len(a), own.shape[1])), own.copy()
+        text = of[a, 0]
+        # Far more rounds than a text has edges are only needed if its messages swing; then its steps get smaller.
+        many = 100 + np.bincount(text, minlength=of[:, 0].max() + 1)[text]
+        on, done = np.arange(len(a)), 0
+        while len(on):
+            out = belief[a[on]] - message[back[on]]
             p = np.exp(out - out.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            message = 0.5 * message + 0.5 * np.log1p(gain * p)  # the sum over the sender's labels, up to a constant
-            belief = own + np.stack([np.bincount(b, message[:, k], len(own)) for k in range(own.shape[1])], 1)
+            # The sum over the sender's labels, up to a constant.
+            move = 0.5 ** (1 + done // many[on])[:, None] * (np.log1p(gain[on] * p) - message[on])
+            message[on] += move
+            to, at = np.unique(b[on], return_inverse=True)  # all edges of a text are on, or none
+            belief[to] = own[to] + np.stack([np.bincount(at, message[on, k], len(to)) for k in range(own.shape[1])], 1)
+            moving = np.zeros(of[:, 0].max() + 1, bool)
+            moving[text[on][np.abs(move).max(1) >= TOLERANCE]] = True
+            on, done = on[moving[text[on]]], done + 1
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
     def spans(self, many: list[str]) -> list[tuple[list[Span], list[Span]]]:
         """Base spans and all spans of each text, by kind and start."""
-        base, nodes, shapes, chain, skip = field(many)
+        base, nodes, shapes, chain, skip, of = field(many)
         if not len(shapes):
             return [([], []) for _ in many]
         flat = [x for own in nodes for x in own]
-        p = self.marginals(shapes, np.array([k + 1 if k >= 0 else -1 for k, _, _ in flat]), chain, skip)
+        p = self.marginals(shapes, np.array([k + 1 if k >= 0 else -1 for k, _, _ in flat]), chain, skip, of)
         best, out, at = np.where(p[:, 1:].max(1) >= 0.5, p[:, 1:].argmax(1), -1), [], 0
         for b, own in zip(base, nodes, strict=True):
             added = [(int(k), s, e) for (kind, s, e), k in zip(own, best[at : at + len(own)], strict=True) if kind < 0 and k >= 0]
@@ -172,7 +195,7 @@ class Model:
 
 
 def train(many: list[str]) -> Model:
-    _, nodes, shapes, chain, skip = field(many)
+    _, nodes, shapes, chain, skip, _ = field(many)
     label = np.array([k + 1 for own in nodes for k, _, _ in own], int)
     w = np.zeros((10, len(KINDS) + 1))
     for _ in range(300 if len(label) else 0):
