@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm.queries")
 
@@ -158,6 +159,22 @@ def test_knapsack_is_exact_on_small_budgets():
             assert size @ took == max(x for x in sums if x <= budget)
 
 
+def test_knapsack_takes_documents_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    assert mixing.fit(np.array([30_000, 30_001, 30_002]), np.ones(3, int), 45_002).tolist() == [0, 0, 1]
+    for scale in (1, 1000):
+        for _ in range(20):
+            size = np.unique(rng.integers(20_001, 90_000, 6)) * scale
+            budget = int(rng.integers(1, size.max() + 1))
+            sums = {0}
+            for x in size.tolist():
+                sums |= {x + y for y in sums}
+            took = mixing.fit(size, np.ones(len(size), int), budget)
+            assert (took <= 1).all() and size @ took == max(x for x in sums if x <= budget)
+    rows = mixing.mix(frame(spark, ["w " * n for n in (30_000, 30_001, 30_002)]).withColumn("source", F.lit("s"))).collect()
+    assert (rows[0].target, sum(r.taken for r in rows)) == (135_004.5, 120_005)
+
+
 def test_classifiers_on_held_out_rows(spark):
     import pyarrow.parquet as pq
 

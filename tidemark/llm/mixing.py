@@ -5,8 +5,10 @@ weight, and stop at CAP times their own words; what is above goes to the others
 
 Each source's target is filled in whole passes over the source and a part of one more. That part is fitted on
 the source's histogram of exact lengths: of each length the same share of its documents, rounded down, then
-greedily more from long to short, and what is left (under the longest length) by bounded-knapsack dynamic
-programming over the documents not yet taken. Only counts decide; which documents of a length are meant is
+greedily more from long to short until about the longest length not yet taken (or KNAPSACK words, if that is
+more) is left, and all of what is left by bounded-knapsack dynamic programming over the documents not yet
+taken, whatever their length; sums are in units of the lengths' greatest common divisor, at most twice the
+longest length or KNAPSACK words. Only counts decide; which documents of a length are meant is
 the order of a seeded hash. A histogram has as many rows as lengths occur in the source, so one task holds
 one at a time; documents never meet in one task: those of a length are ranked in slices of about SLICE rows.
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD
 
 WEIGHTS, RATE, CAP, SLICE = (3, 1, 2), 1.5, 2.0, 1000
-#: Words that the knapsack may be asked for; greedy steps bring the rest below the shortest untaken length or this.
+#: Words that greedy steps leave to the knapsack, or the longest untaken length where that is more.
 KNAPSACK = 20_000
 
 
@@ -59,37 +61,37 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     take = np.array([int(c) * budget // total for c in count], np.int64)
     left = budget - int((size * take).sum())
     spare = count - take
+    room = max(KNAPSACK, int(size[spare > 0].max()))
     for i in np.argsort(-size, kind="stable"):
-        if left <= KNAPSACK:
+        if left <= room:
             break
-        more = int(min(spare[i], (left - KNAPSACK) // max(1, size[i])))
+        more = int(min(spare[i], (left - room) // max(1, size[i])))
         take[i] += more
         spare[i] -= more
         left -= more * int(size[i])
     # Bounded knapsack: a length with many spare documents is entered as groups of 1, 2, 4, ... documents.
-    top = min(left, KNAPSACK)
-    reach = np.full(top + 1, -1, np.int64)  # the group by which a sum is first reached
-    reach[0] = len(size) * 64
+    usable = size[(spare > 0) & (size > 0) & (size <= left)]
+    unit = int(np.gcd.reduce(usable)) if len(usable) else 1
+    scaled, top = size // unit, left // unit if len(usable) else 0
+    reach = np.full(top + 1, -1, np.int32)  # the group by which a sum is first reached
     have = np.zeros(top + 1, bool)
     have[0] = True
     groups = []
     for i in np.argsort(-size, kind="stable"):
-        n, k = int(min(spare[i], top // max(1, size[i]))), 1
+        n, k = int(min(spare[i], left // max(1, size[i]))), 1
         while n > 0 and size[i] and not have[top]:
             part = min(k, n)
             groups.append((i, part))
-            step = int(size[i]) * part
-            new = np.zeros_like(have)
-            new[step:] = have[: top + 1 - step]
-            new &= ~have
-            reach[new] = len(groups) - 1
-            have |= new
+            step = int(scaled[i]) * part
+            new = have[: top + 1 - step] & ~have[step:]
+            reach[step:][new] = len(groups) - 1
+            have[step:] |= new
             n, k = n - part, k * 2
     at = int(np.flatnonzero(have)[-1])
     while at:  # a sum's groups have falling numbers, as each was reached by a group later than the rest of it
         i, part = groups[reach[at]]
         take[i] += part
-        at -= int(size[i]) * part
+        at -= int(scaled[i]) * part
     return take
 
 
