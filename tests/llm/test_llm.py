@@ -188,6 +188,19 @@ def test_classifiers_on_held_out_rows(spark):
         assert (p == (y[held] == 1)).mean() > 0.97
 
 
+def test_quality_learns_from_the_whole_text():
+    """Junk that stands in one place of a long text only, between its ends and thirds."""
+    rng = random.Random(1)
+    clean = lambda n: " ".join(rng.choice(["the", "tide", "went", "out", "over", "sand", "and", "stones"]) for _ in range(n))
+    junk = lambda: "".join(rng.choice("#$%&*<>{}~") for _ in range(500))
+    texts, y = [], np.arange(300) % 2
+    for good in y:
+        n = rng.choice((270, 800, 1330))
+        texts.append((clean(1600) if good else f"{clean(n)} {junk()} {clean(1600 - n)}").encode())
+    net = quality.train(texts[:200], y[:200].astype(float))
+    assert ((net.score(*_bytes(texts[200:]), net.pairs()) >= 0.5) == (y[200:] == 1)).mean() > 0.95
+
+
 def _bytes(many):
     return np.frombuffer(b"".join(many), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in many])])
 

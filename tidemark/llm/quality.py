@@ -4,8 +4,8 @@ Every filter looks at WIDTH neighbouring bytes through a table of learned byte v
 max-pooled over overlapping chunks that cover the whole text (STEP positions, chunks of two steps), the
 pooled values of all chunks are averaged, and a logistic unit turns them into one probability.
 
-Training: at most TRAIN_ROWS labelled documents, those of smallest doc_id hash; from each, at most
-TRAIN_CHUNKS chunks spread evenly over the text. That bound is all that training collects. Scoring reads
+Training: at most TRAIN_ROWS labelled documents, those of smallest doc_id hash, with all chunks of their whole
+texts, so a document is trained on the mean that it is scored by. Only the rows are bounded. Scoring reads
 whole texts in one pass without a shuffle. Null and empty texts get the score of an empty chunk; equal
 texts get equal scores; without labels of both kinds every score is the labels' mean, or 0.5.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bucket_of, pieces, sampled, utf8
 
 WIDTH, STEP, FILTERS = 4, 128, 16
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS = 4000, 4, 12
+TRAIN_ROWS, EPOCHS = 4000, 12
 
 
 @dataclass
@@ -58,18 +58,29 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(mean.astype(np.float64) @ self.weight + self.shift, -30, 30)))
 
 
-def _chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Training chunks (bytes) and the text of each."""
-    rows, of = [], []
+def _steps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All steps of the texts with the bytes that filters at their last places reach, and where each text's begin."""
+    at = np.concatenate([[0], np.cumsum([max(1, -(-len(t) // STEP)) for t in texts])])
+    wide = np.zeros((at[-1], STEP + WIDTH - 1), np.uint8)
     for i, t in enumerate(texts):
-        places = max(1, -(-len(t) // STEP) - 1)
-        for k in sorted({int(x) for x in np.linspace(0, places - 1, TRAIN_CHUNKS)}):
-            part = np.zeros(2 * STEP + WIDTH, np.uint8)
-            own = np.frombuffer(t[k * STEP : (k + 2) * STEP + WIDTH], np.uint8)
-            part[: len(own)] = own
-            rows.append(part)
-            of.append(i)
-    return np.array(rows), np.array(of)
+        own = np.zeros((at[i + 1] - at[i]) * STEP + WIDTH - 1, np.uint8)
+        own[: len(t)] = np.frombuffer(t, np.uint8)
+        wide[at[i] : at[i + 1]] = np.lib.stride_tricks.sliding_window_view(own, STEP + WIDTH - 1)[::STEP]
+    return wide, at
+
+
+def _pooled(x: np.ndarray, taps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest response of each filter in each step and its place."""
+    top, best = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int64)
+    for a in range(0, len(x), 64):  # so that responses stay in the cache
+        c = x[a : a + 64]
+        r = taps[0][c[:, :STEP]]
+        for j in range(1, WIDTH):
+            r += taps[j][c[:, j : j + STEP]]
+        r = np.ascontiguousarray(r.transpose(0, 2, 1))
+        best[a : a + 64] = r.argmax(2)
+        top[a : a + 64] = np.take_along_axis(r, best[a : a + 64, :, None], 2)[..., 0]
+    return top, best
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
@@ -80,8 +91,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     if rate in (0.0, 1.0) or not len(labels):
         return Network(net.taps * 0, net.bias, net.weight * 0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     cost = np.where(labels == 1, 1.0, np.sqrt(rate / (1 - rate)))
-    x, of = _chunks(texts)
-    begin = np.searchsorted(of, np.arange(len(texts) + 1))
+    x, begin = _steps(texts)
+    f = np.arange(FILTERS)
     state = {k: [np.zeros_like(v, dtype=np.float64), np.zeros_like(v, dtype=np.float64)] for k, v in (("taps", net.taps), ("bias", net.bias), ("weight", net.weight), ("shift", np.zeros(1)))}
     t = 0
     for _ in range(EPOCHS):
@@ -90,20 +101,25 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
             docs = order[a : a + 64]
             t += 1
             idx = np.concatenate([np.arange(begin[d], begin[d + 1]) for d in docs])
-            n = begin[docs + 1] - begin[docs]
-            c = x[idx].astype(np.int64)
-            r = sum(net.taps[j][c[:, j : j + 2 * STEP]] for j in range(WIDTH))
-            best = r.argmax(1)
-            top = np.take_along_axis(r, best[:, None, :], 1)[:, 0] + net.bias
+            steps = begin[docs + 1] - begin[docs]
+            own, best = _pooled(x[idx], net.taps)
+            # A text of several steps has a chunk from each but the last; one of a single step has that one.
+            last = np.zeros(len(idx), bool)
+            last[np.cumsum(steps) - 1] = True
+            first = np.flatnonzero(~last | np.repeat(steps == 1, steps))
+            second = first + ~last[first]
+            n = np.maximum(1, steps - 1)
+            at = np.where(own[second] > own[first], second[:, None], first[:, None])  # the step that wins each chunk
+            top = own[at, f] + net.bias
             seg = np.concatenate([[0], np.cumsum(n)[:-1]])
             mean = np.add.reduceat(np.maximum(top, 0), seg, 0) / n[:, None]
             p = 1 / (1 + np.exp(-np.clip(mean @ net.weight + net.shift, -30, 30)))
             g = (p - labels[docs]) * cost[docs] / len(docs)
             back = np.repeat(g[:, None] * net.weight / n[:, None], n, 0) * (top > 0)
             taps = np.zeros_like(net.taps)
-            f = np.broadcast_to(np.arange(FILTERS), best.shape)
             for j in range(WIDTH):
-                np.add.at(taps[j], (np.take_along_axis(c[:, j : j + 2 * STEP], best, 1), f), back)
+                cell = x[idx[at], best[at, f] + j].astype(np.int64) * FILTERS + f
+                taps[j] = np.bincount(cell.ravel(), back.ravel(), 256 * FILTERS).reshape(256, FILTERS)
             for k, d in (("taps", taps), ("bias", back.sum(0)), ("weight", mean.T @ g + 1e-4 * net.weight), ("shift", np.array([g.sum()]))):
                 m, v = state[k]
                 m += 0.1 * (d - m)
