@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm.queries")
 
-from tidemark.llm import bpe, flac, imatch, jaccard, licences, mixing, pii, quality, toxicity  # noqa: E402
+from tidemark.llm import bpe, flac, imatch, jaccard, language, licences, mixing, pii, quality, toxicity  # noqa: E402
 from tidemark.llm import queries as q  # noqa: E402
 from tidemark.llm.components import components  # noqa: E402
 
@@ -201,6 +201,17 @@ def test_quality_learns_from_the_whole_text():
     assert ((net.score(*_bytes(texts[200:]), net.pairs()) >= 0.5) == (y[200:] == 1)).mean() > 0.95
 
 
+def test_language_knows_rare_languages(spark):
+    rare = "zxqv wqzk vvxz kqwz " * 20
+    rows = [(i, "the tide went out over the sand", "en", None, None) for i in range(8000)] + [(i, rare, f"r{i - 8000}", None, None) for i in range(8000, 8005)] + [(None, "los barcos", "es", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    langs, table = language.fit(docs)
+    assert langs == ["en", "es", "r0", "r1", "r2", "r3", "r4"] and len(table) == 7
+    two = docs.where("doc_id < 8001 or doc_id is null")
+    pages = spark.createDataFrame([(1, "http://a.org/", f"<html><p>{rare}</p></html>"), (2, "http://a.org/2", "<html>the tide went out over the sand</html>")], "page_id long, url string, html string")
+    assert {r.page_id: r.language for r in language.identify(pages, language.fit(two)).collect()} == {1: "r0", 2: "en"}
+
+
 def _bytes(many):
     return np.frombuffer(b"".join(many), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in many])])
 

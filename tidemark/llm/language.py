@@ -7,8 +7,9 @@ grouped aggregation of the text posteriors: a host's prior is smoothed towards t
 towards the prior of all pages, each with KAPPA pseudo-counts. Sums are taken before the shuffle, so a
 host with a third of all pages costs no more than others.
 
-The trigram model learns from at most TRAIN_ROWS documents with a language, those of smallest doc_id hash; the
-number of languages must be small (they are columns of the model). Null or empty pages rest on the
+The trigram model has all languages of the documents, however rare, and learns each from at most LANG_ROWS of
+its documents, those of smallest doc_id hash; the number of languages must be small (they are columns of the
+model). Null or empty pages rest on the
 other evidence; pages without any get the overall prior; an empty table gives an empty result.
 """
 
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import host
-from tidemark.llm.common import pieces, sampled, texts
+from tidemark.llm.common import pieces, texts
 
-BITS, TRAIN_ROWS, KAPPA = 15, 3000, 5.0
+BITS, LANG_ROWS, KAPPA = 15, 1000, 5.0
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>")
 
 
@@ -41,8 +43,11 @@ def grams(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each hashed trigram in each."""
-    chosen = sampled(docs.where("lang is not null"), TRAIN_ROWS)
-    rows = docs.where("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").collect()
+    known = docs.where("lang is not null")
+    # Up to 1,000 rows a group, Spark drops the others in each partition before the shuffle.
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= LANG_ROWS).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")), "left_semi").collect()
     langs = sorted({r.lang for r in rows})
     counts = np.full((len(langs), 1 << BITS), 0.1)
     for r in rows:
