@@ -29,3 +29,9 @@ def rows(names, values):
 def test_same_rows(spark, duck, name):
     df, sql = QUERIES[name](spark, DIR), duck.sql(ORACLE[name])
     assert rows(df.columns, map(tuple, df.collect())) == rows(sql.columns, sql.fetchall())
+
+
+def test_windows_and_novelty_of_the_survey(spark):
+    assert {"moving_average_7", "moving_average_30", "moving_average_90"} <= set(QUERIES)
+    novelty = QUERIES["document_jaccard_novelty"](spark, DIR)
+    assert novelty.count() == spark.read.parquet(f"{DIR}/documents.parquet").count() and novelty.where("novelty < 1").count()

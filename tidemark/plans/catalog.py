@@ -86,6 +86,16 @@ def moving_average_7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.moving_average(_daily_events(spark, sf_dir), "event_type", "n", 7)
 
 
+@query(f"SELECT event_type, day, {_R('CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w')} AS average, count(*) OVER w AS active_days, {_R('CAST(count(*) OVER w AS DOUBLE) / 30')} AS coverage, CAST(count(*) OVER w AS DOUBLE) / 30 >= 0.6 AS sufficient FROM {_DAILY} WINDOW w AS (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)")
+def moving_average_30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.moving_average(_daily_events(spark, sf_dir), "event_type", "n", 30)
+
+
+@query(f"SELECT event_type, day, {_R('CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w')} AS average, count(*) OVER w AS active_days, {_R('CAST(count(*) OVER w AS DOUBLE) / 90')} AS coverage, CAST(count(*) OVER w AS DOUBLE) / 90 >= 0.6 AS sufficient FROM {_DAILY} WINDOW w AS (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 89 DAY PRECEDING AND CURRENT ROW)")
+def moving_average_90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.moving_average(_daily_events(spark, sf_dir), "event_type", "n", 90)
+
+
 @query(f"SELECT event_type, count(*) AS points, CASE WHEN count(*) >= 3 THEN {_R('regr_slope(y, x)')} END AS slope, CASE WHEN count(*) >= 3 THEN {_R('regr_r2(y, x)')} END AS r2 FROM (SELECT event_type, CAST(n AS DOUBLE) AS y, CAST(day - (SELECT max(day) FROM {_DAILY}) + 29 AS DOUBLE) AS x FROM {_DAILY}) WHERE x >= 0 GROUP BY event_type")
 def trend_slope_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _daily_events(spark, sf_dir)
@@ -173,6 +183,14 @@ def title_jaccard_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.novelty(a, "page_id", b, "item_id").select("page_id", half_up(F.col("n")).alias("novelty"))
 
 
+@query(f"WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS t FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS t FROM benchmark), x AS (SELECT doc_id, len(d.t) AS na, unnest(d.t) AS w FROM d), y AS (SELECT item_id, len(b.t) AS nb, unnest(b.t) AS w FROM b), j AS (SELECT doc_id, max(j) AS j FROM (SELECT doc_id, CAST(count(*) AS DOUBLE) / (na + nb - count(*)) AS j FROM x JOIN y USING (w) GROUP BY doc_id, item_id, na, nb) GROUP BY doc_id) SELECT doc_id, {_R('CASE WHEN len(t) = 0 THEN 0.0::DOUBLE ELSE 1 - coalesce(j, 0.0::DOUBLE) END')} AS novelty FROM d LEFT JOIN j USING (doc_id)")
+def document_jaccard_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents against whole texts of the older corpus."""
+    a = _read(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
+    b = _read(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("tokens"))
+    return merge.novelty(a, "doc_id", b, "item_id").select("doc_id", half_up(F.col("n")).alias("novelty"))
+
+
 _URL = r"""CASE WHEN regexp_matches(url, '^https?://[^/?#\s@]+') THEN lower(regexp_extract(b, '^(https?)://', 1)) || '://' || regexp_replace(lower(regexp_extract(b, '^https?://([^/?#:]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(b, '^https?://[^/?]+([^?]*)', 1), '/+$', '')
  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END"""
 
