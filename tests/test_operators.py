@@ -64,3 +64,11 @@ def test_merge_and_tombstones(spark):
 def test_halves_and_addresses(spark):
     r = spark.range(1).select(half_up(F.lit(-0.5), 0).alias("a"), half_up(F.lit(2.5), 0).alias("b"), topic_url(F.lit("HTTP://x")).alias("c"), topic_url(F.lit("https://www.X.org/a/?b=2&utm_source=f&a=1#t")).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == (0.0, 3.0, None, "https://x.org/a?a=1&b=2")
+
+
+def test_fill_up_cuts_groups_before_the_shuffle(spark):
+    current = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, k long")
+    older = spark.createDataFrame([("a", i) for i in range(4, 20)] + [("b", i) for i in range(20, 40)] + [("c", 50)], "g string, k long")
+    out = merge.filled_up(current, older, "g", "k", [F.col("k")], 2)
+    assert sorted(map(tuple, out.collect())) == [("a", 1, False), ("a", 2, False), ("b", 3, False), ("b", 20, True), ("c", 50, True)]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().toString()

@@ -34,7 +34,9 @@ def filled_up(current: DataFrame, older: DataFrame, group: str, key: str, order:
     """current, and for groups with fewer than `least` rows as many older ones, not yet there, as are missing; is_backfill marks them."""
     have = current.groupBy(group).agg(F.count("*").alias("_n"))
     rest = older.join(current.select(key), key, "left_anti").join(have, group, "left")
-    rest = rest.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_r") <= least - F.coalesce("_n", F.lit(0)))
+    # The literal limit lets Spark drop rows of a group in each partition before the shuffle.
+    rest = rest.where(F.coalesce("_n", F.lit(0)) < least).withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_r") <= least)
+    rest = rest.where(F.col("_r") <= least - F.coalesce("_n", F.lit(0)))
     return current.withColumn("is_backfill", F.lit(False)).unionByName(rest.select(*current.columns).withColumn("is_backfill", F.lit(True)))
 
 
