@@ -13,6 +13,7 @@ pytest.importorskip("tidemark.llm.queries")
 
 from tidemark.llm import bpe, flac, imatch, jaccard, language, licences, mixing, pii, quality, toxicity  # noqa: E402
 from tidemark.llm import queries as q  # noqa: E402
+from tidemark.llm.common import Scratch  # noqa: E402
 from tidemark.llm.components import components  # noqa: E402
 
 DIR = "/root/testdata/sf0.001"
@@ -50,6 +51,42 @@ def test_jaccard_equals_brute_force(spark):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_with_large_entries(spark):
+    """A group of near copies and a passage that many unlinked documents share, both beyond COLD, and blocks of a few rows."""
+    rng = random.Random(6)
+    base, passage = [str(rng.randrange(10**6)) for _ in range(60)], [str(rng.randrange(10**6)) for _ in range(40)]
+    texts = []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            own[rng.randrange(len(own))] = str(rng.randrange(10**6))
+        texts.append(" ".join(own))
+        texts.append(" ".join([*passage, *(str(rng.randrange(10**6)) for _ in range(rng.randrange(1, 14)))]))
+    sets, root = [shingles(t, 4) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 85 * len(x | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    block, jaccard.BLOCK = jaccard.BLOCK, 7
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame(spark, texts), 4, 85, 100).collect()}
+    finally:
+        jaccard.BLOCK = block
+    assert got == dict(enumerate(root)) and len(set(root)) > 3
+
+
+def test_jaccard_of_odd_tables(spark):
+    assert jaccard.near_duplicates(frame(spark, []), 4, 85, 100).count() == 0 and jaccard.one_of_each(frame(spark, [])).count() == 0
+    text = " ".join(map(str, range(50)))
+    rows = [(1, "other words here"), (1, text), (2, text + " end"), (None, text), (3, text + " fin"), (3, text + " fin")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "sigs": F.lit(2), "component_id": F.lit(3)})
+    got = jaccard.near_duplicates(docs, 4, 85, 100).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (3, 1)]
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1]
+
+
 @pytest.mark.parametrize("kind", [0, 1, 2])
 def test_entries_meet_for_every_linked_pair(kind):
     """Whatever classes the sketch gives, linked sets share an entry."""
@@ -64,12 +101,16 @@ def test_entries_meet_for_every_linked_pair(kind):
         if jaccard._linked(a, b, 80, 100) and not np.array_equal(a, b):
             sig, row = jaccard.entries(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), classes, 80, 100)
             assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
-            assert jaccard._differing(*jaccard.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))) <= len(np.setxor1d(a, b))
+            u, v = jaccard.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            assert jaccard._differing([u], [v])[0] <= len(np.setxor1d(a, b))
 
 
 def test_components_of_a_path(spark):
     rows = [(i, i + 1) for i in range(20)] + [(30, 31), (5, 5)]
-    assert {r.id: r.comp for r in components(spark.createDataFrame(rows, "a long, b long")).collect()} == {i: 0 for i in range(21)} | {30: 30, 31: 30}
+    with Scratch(spark) as scratch:
+        assert {r.id: r.comp for r in components(spark.createDataFrame(rows, "a long, b long"), scratch).collect()} == {i: 0 for i in range(21)} | {30: 30, 31: 30}
+        assert components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
+    assert not spark.sql(f"SHOW DATABASES LIKE '{scratch.name}'").count()
 
 
 def test_flac_round_trip(spark):

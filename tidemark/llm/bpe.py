@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import pieces, texts
 
 #: Pre-tokens whose ids a task remembers; then it starts anew.
-MEMORY = 400_000
+MEMORY = 100_000
 
 
 def _varint(n: int) -> bytes:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task works on at once, whatever the size of an Arrow batch.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,22 +28,56 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local master may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
+
+
+class Scratch:
+    """Tables in the shared folder, so that a lost executor loses nothing; dropped with their files at the end of the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name, self.count = spark, f"scratch_{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        self.spark.sql(f"CREATE DATABASE {self.name} LOCATION '{folder(self.spark)}/{self.name}'")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP DATABASE {self.name} CASCADE")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df computed once, as a table of this block."""
+        self.count += 1
+        table = f"{self.name}.t{self.count}"
+        df.write.format("parquet").saveAsTable(table)
+        return self.spark.table(table)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Arrow batches of so many rows at most while the block runs, for stages whose rows carry whole sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once: a table in the shared folder, so that a lost executor loses nothing. It goes when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/kept-{uuid.uuid4().hex}"
+    """df computed once, as files in the shared folder that stay there like those of a checkpoint. For results; what an operator needs only on its way goes to a Scratch."""
+    path = f"{folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z folded. Texts of ASCII only, which have as many bytes as characters, go the fast way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def bucket_of(doc_id: Column, n: int) -> Column:

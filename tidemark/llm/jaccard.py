@@ -9,21 +9,23 @@ rare tokens are indexed singly, frequent ones in pairs and very frequent ones in
 subclasses by hash so that their number stays linear. The prefix is extended until the rare tokens plus, in
 each subclass, the tokens beyond k - 1 number e + 1: no set of e missing tokens then avoids a shared entry.
 
-Equal sets become one representative first. Entries with one representative drop out. Those of at most COLD
-representatives give their pairs; of a larger entry ROUNDS pivots are paired with the rest. A pair goes on
-if sizes allow a link and so do parity bitmaps of the sets (bits of equal place cancel, so differing bits
-never exceed differing tokens). Pairs that are left are verified on the sets themselves. Larger entries
-that hold more than one component yet are then compared within, two blocks at a time, by size and bitmap: at
-first a forest of possible pairs is verified, which joins most components, then every possible pair across
-the rest. So nothing is left out.
-
-Null and empty texts have no shingles, no links and n_shingles 0. A null doc_id is a document of its own for
-which component_id is null. Repeated rows of one doc_id are returned each; their sets count as the doc_id's.
+Equal sets become one representative first. Entries with one representative drop out. In the others the least
+id is a pivot that is paired with the rest, then the least of those left in entries that still hold more than one
+component. A pair goes on if sizes allow a link and so do parity bitmaps of the sets (bits of equal place cancel,
+so differing bits never exceed differing tokens); pairs that are left are verified on the sets themselves. What the
+pivots leave unjoined is compared whole: entries of at most COLD representatives give their pairs across
+components; in larger ones the main component meets the rest, and the rest itself, two blocks at a time, by size and
+bitmap: at first a forest of possible pairs is verified, which joins most components, then every possible
+pair across the rest. So nothing is left out.
+
+Tokens are hashes, so sets are exact but for collisions of 64-bit values. Null and empty texts have no shingles, no
+links and n_shingles 0. A null doc_id is a document of its own for which component_id is null. Repeated rows of
+one doc_id are returned each; they are one document, which links where any of its texts does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Hasher, kept, mixed, pieces, utf8, words
+from tidemark.llm.common import Hasher, Scratch, kept, mixed, pieces, small_batches, utf8, words
 from tidemark.llm.components import components
 
-BUCKETS_BITS, COLD, ROUNDS, BLOCK = 20, 32, 6, 4096
+BUCKETS_BITS, COLD, BLOCK = 20, 32, 4096
 #: Times the mean count of a bucket, plus the second number, above which tokens are taken in pairs and in triples.
 FREQUENT, VERY_FREQUENT = (2, 64), (8, 2048)
 _PLACE = mixed(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
-#: Bits of the filter of document ids whose sets are needed; a full filter only lets more through.
-_FILTER_BITS = 23
+#: Bits of the filter of document ids whose sets are needed: 32 for each id, within these powers of two. A full filter only lets more through.
+_FILTER_BITS = (20, 28)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,50 +88,69 @@ def parities(x: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [packed[i:j] for i, j in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist(), strict=True)]
 
 
-def _differing(a: bytes, b: bytes) -> int:
-    """Places where two parity bitmaps differ; the longer one is folded to the other's size first."""
-    u, v = (np.frombuffer(z, np.uint8) for z in sorted((a, b), key=len))
-    while len(v) > len(u):
-        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
-    return int(np.bitwise_count(u ^ v).sum())
+def _differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Places where two parity bitmaps differ, pair by pair; the longer one is folded to the other's size first."""
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(size), np.int64)
+    for la, lb in np.unique(size, axis=0).tolist():
+        at, w = np.flatnonzero((size == (la, lb)).all(1)), min(la, lb)
+        u, v = (np.frombuffer(b"".join([z[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1, w) for z in (a, b))
+        out[at] = np.bitwise_count(np.bitwise_xor.reduce(u, 1) ^ np.bitwise_xor.reduce(v, 1)).sum(1, dtype=np.int64)
+    return out
 
 
-def summaries(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, two digests and a parity bitmap of each document's set."""
+def summaries(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, two digests, a parity bitmap and the index entries of each document's set."""
+    classes = docs.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(sketch(docs, width)[:, None], axis=1, count=8)[:, 6:].ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two = np.unpackbits(classes.value).reshape(-1, 2)
+        kinds = two[:, 0] * 2 + two[:, 1]
         for b in pieces(batches):
             x, at = shingle_sets(*utf8(b), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digest(x, at)), pa.array(parities(x, at), pa.binary())], ["doc_id", "n", "d1", "d2", "bits"])
+            sig, row = entries(x, at, kinds, num, den)
+            order = np.argsort(row, kind="stable")
+            of = pa.array(np.searchsorted(row[order], np.arange(len(at))), pa.int32())
+            sigs = pa.ListArray.from_arrays(of, pa.array(sig[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), *map(pa.array, _digest(x, at)), pa.array(parities(x, at), pa.binary()), sigs], ["doc_id", "n", "d1", "d2", "bits", "sigs"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary, sigs array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bits binary")
+def _sums(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], parts: int = 16) -> np.ndarray:
+    """The arrays of equal size that run makes of each partition, merged on the executors in slices; only the merged one comes to the driver."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in run(batches):
+            cut = np.array_split(whole, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary()), pa.array([whole.dtype.str] * parts)], ["part", "bytes", "kind"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, data, kind in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                own = np.frombuffer(data.as_buffer(), kind)
+                have[part] = merge(have[part], own) if part in have else own.copy()
+        if have:
+            yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([x.tobytes() for x in have.values()], pa.binary()), pa.array([x.dtype.str for x in have.values()])], ["part", "bytes", "kind"])
+
+    schema = "part int, bytes binary, kind string"
+    rows = df.mapInArrow(sliced, schema).repartition(parts, "part").mapInArrow(merged, schema).collect()
+    return np.concatenate([np.frombuffer(r.bytes, r.kind) for r in sorted(rows, key=lambda r: r.part)] or [np.zeros(0, np.uint8)])
 
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Class (0, 1, 2) of each bucket of hashes, from the number of documents with a token in it. The counts are added up on the executors."""
-    side = 1 << 16
+    """Class (0, 1, 2) of each bucket of hashes, from the number of documents with a token in it."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKETS_BITS, np.uint32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        total = np.zeros(1 << BUCKETS_BITS, np.uint64)
         for b in pieces(batches):
             x, _ = shingle_sets(*utf8(b), width)
-            total += np.bincount((x >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
-        parts = [total[i : i + side] for i in range(0, len(total), side)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype(np.uint64).tobytes() for p in parts], pa.binary())], ["part", "counts"])
+            total += np.bincount((x >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint64)
+        yield total
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_buffer(), np.uint64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
-
-    schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(16, "part").mapInArrow(add, schema).collect()
-    total = np.zeros(1 << BUCKETS_BITS, np.uint64)
-    for r in rows:
-        total[r.part * side : (r.part + 1) * side] += np.frombuffer(r.counts, np.uint64)
+    total = _sums(docs.select("text"), count, np.add)
+    total = total if len(total) else np.zeros(1 << BUCKETS_BITS, np.uint64)
     mean = int(total.sum()) / len(total)
     return (total > FREQUENT[0] * mean + FREQUENT[1]).astype(np.uint8) + (total > VERY_FREQUENT[0] * mean + VERY_FREQUENT[1])
 
@@ -188,46 +209,31 @@ def _combined(salt: int, *tokens: int) -> int:
     return salt
 
 
-def index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """sig and doc_id: the index entries of each document."""
-    classes = docs.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(sketch(docs, width)[:, None], axis=1, count=8)[:, 6:].ravel()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two = np.unpackbits(classes.value).reshape(-1, 2)
-        kinds = two[:, 0] * 2 + two[:, 1]
-        for b in pieces(batches):
-            x, at = shingle_sets(*utf8(b), width)
-            sig, row = entries(x, at, kinds, num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column(0).take(pa.array(row))], ["sig", "doc_id"])
-
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "sig long, doc_id long")
-
-
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and the sorted set as bytes, of the documents whose id is among ids (column id)."""
-    bits = 1 << _FILTER_BITS
+    """id, n and the sorted set as bytes, of the documents whose id is among ids (column id), and of some others."""
+    power = int(np.clip((32 * ids.count()).bit_length(), *_FILTER_BITS))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, bool)
+    def place(x: pa.Array) -> np.ndarray:
+        return (mixed(np.asarray(x).astype(np.int64).view(np.uint64)) >> np.uint64(64 - power)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        seen = np.zeros(1 << power, bool)
         for b in batches:
-            seen[(mixed(np.asarray(b.column(0)).view(np.uint64)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
+            seen[place(b.column(0))] = True
+        yield np.packbits(seen)
 
-    flat = np.zeros(bits // 8, np.uint8)
-    for r in ids.select("id").coalesce(8).mapInArrow(mark, "bits binary").collect():
-        flat |= np.frombuffer(r.bits, np.uint8)
-    marked = docs.sparkSession.sparkContext.broadcast(flat)
+    flat = _sums(ids.select("id"), mark, np.bitwise_or)
+    marked = docs.sparkSession.sparkContext.broadcast(flat if len(flat) else np.zeros((1 << power) // 8, np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(marked.value).astype(bool)
+        bits = marked.value
         for b in batches:
-            own = seen[(mixed(np.asarray(b.column(0)).astype(np.int64).view(np.uint64)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-            for p in pieces(iter([b.filter(pa.array(own))])):
+            at = place(b.column(0))
+            for p in pieces(iter([b.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))])):
                 x, at = shingle_sets(*utf8(p), width)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(np.diff(at), pa.int64()), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "n", "tokens"])
 
-    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id long, n long, tokens binary")
-    return found.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("n", "tokens")).alias("s")).select("id", "s.*")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "id long, n long, tokens binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -246,8 +252,8 @@ def possible(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame
         for b in batches:
             total = np.asarray(b.column(2)) + np.asarray(b.column(3))
             most = total - 2 * -(-num * total // (num + den))  # tokens in one set only
-            ok = [_differing(u, v) <= m for u, v, m in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in range(2)], ["a", "b"])
+            ok = pa.array(_differing(b.column(4).to_pylist(), b.column(5).to_pylist()) <= most)
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in range(2)], ["a", "b"])
 
     left, right = (info.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
     near = pairs.join(left, "a").join(right, "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
@@ -296,48 +302,68 @@ def _across(rows: list[tuple[int, int, int, int, bytes]], same_block: bool, num:
     return out
 
 
-def _blocked(group: DataFrame, comp: DataFrame, info: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Distinct possible pairs a, b across components among the representatives of each group (id, grp)."""
-    own = kept(group.join(comp, "id", "left").select("id", "grp", F.coalesce("comp", "id").alias("comp")))
-    several = own.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low != high")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = own.join(several, "grp").join(info, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    ids = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    tiles = placed.select("id", "grp", "comp", "block", "n", "bits", F.explode(ids).alias("t")).select("id", "grp", "comp", "block", "n", "bits", "t.i", "t.j")
+def _blocked(rest: DataFrame, info: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Distinct possible pairs a, b across components in each entry (sig, id, comp).
+
+    Blocks of the main component, the one with most rows, meet the blocks of the others only, so that an entry that is nearly all one component is compared in time proportional to its size.
+    """
+    parts = rest.groupBy("sig", "comp").agg(F.count("*").alias("c"))
+    several = parts.groupBy("sig").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    others, mains = (F.ceil(x / BLOCK).cast("int") for x in (F.col("m") - F.col("most"), F.col("most")))
+    is_main = F.col("comp") == F.col("main")
+    hashed = F.xxhash64("id")
+    placed = rest.select("sig", "id", "comp").join(several, "sig").join(info, "id").withColumn("block", F.when(is_main, others + F.pmod(hashed, mains)).otherwise(F.pmod(hashed, others)).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(is_main, others).otherwise(others + mains) - 1)
+    ids = F.transform(meets, lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
+    tiles = placed.select("id", "sig", "comp", "block", "n", "bits", F.explode(ids).alias("t")).select("id", "sig", "comp", "block", "n", "bits", "t.i", "t.j")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(pdf["id"], pdf["comp"], pdf["block"], pdf["n"], pdf["bits"], strict=True), key=lambda r: r[0])
         return pd.DataFrame(_across(rows, bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]), num, den, forest), columns=["a", "b"]).astype("int64")
 
-    return tiles.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return tiles.groupBy("sig", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of each document: the least doc_id reachable by links, itself included."""
-    rows = kept(summaries(docs, width))
-    same = rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = kept(rows.where("n > 0 and doc_id is not null").join(same, ["n", "d1", "d2"]).select("doc_id", "rep").distinct())
-    sigs = kept(index(docs, width, num, den))
-    often = sigs.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    shared = kept(sigs.join(often, "sig").join(reps, "doc_id").select("sig", F.col("rep").alias("id")).distinct())
-    buckets = kept(shared.join(shared.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1"), "sig"))
-    cold, hot = buckets.where(F.col("m") <= COLD), buckets.where(F.col("m") > COLD)
-    pairs = cold.select("sig", F.col("id").alias("a")).join(cold.select("sig", F.col("id").alias("b")), "sig").where("a < b").select("a", "b")
-    for r in range(ROUNDS):
-        pivots = hot.groupBy("sig").agg(F.min_by("id", F.xxhash64(F.lit(r), "id")).alias("p"))
-        pairs = pairs.union(hot.join(pivots, "sig").where("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
-    info = rows.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("n", "bits")).alias("s")).select("id", "s.*")
-    near = kept(possible(pairs.distinct(), info, num, den))
-    ids = near.select(F.col("a").alias("id")).union(near.select("b")).union(hot.select("id")).distinct()
-    sets = kept(sets_of(docs, kept(ids), width))
-    copies = reps.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = kept(copies.union(verified(near, sets, num, den)))
-    if hot.limit(1).count():
-        group = hot.select("id", F.col("sig").alias("grp"))
-        for forest in (True, False):
-            links = kept(links.union(verified(_blocked(group, components(links), info, num, den, forest), sets, num, den)))
-    comp = components(links).withColumnRenamed("id", "doc_id")
-    return rows.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
+        keep = scratch.keep
+        with Scratch(docs.sparkSession) as first:
+            whole = first.keep(summaries(docs, width, num, den))
+            rows = keep(whole.drop("sigs"))
+            known = rows.where("n > 0 and doc_id is not null")
+            same = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep != last")
+            links = keep(known.join(same, ["n", "d1", "d2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+            copies = links.select(F.col("a").alias("doc_id")).distinct()
+            own = whole.where("doc_id is not null").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
+            heads = own.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("m")).where("pivot != last")
+            shared = keep(own.join(heads, "sig").select("sig", "id", "pivot", "m"))
+        info = known.select(F.col("doc_id").alias("id"), "n", "bits").distinct()
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            """The links a, b among the pairs."""
+            near = keep(possible(pairs, info, num, den))
+            sets = keep(sets_of(docs, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), width))
+            return verified(near, sets, num, den)
+
+        def labelled(df: DataFrame) -> DataFrame:
+            """sig, id, m and the component so far of each id."""
+            return df.select("sig", "id", "m").join(components(links, scratch), "id", "left").select("sig", "id", "m", F.coalesce("comp", "id").alias("comp"))
+
+        links = keep(links.union(linked(shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())))
+        # Entries of two are done. In the others a pivot has met all others and is left out from here on.
+        rest = keep(labelled(shared.where("m > 2 and id != pivot")))
+        pivots = rest.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("comp", "id").alias("of"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+        rest = keep(rest.join(pivots.select("sig", "pivot", "of"), "sig").where("id != pivot"))
+        links = keep(links.union(linked(rest.where("comp != of").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())))
+        rest = keep(labelled(rest))
+        cold, hot = rest.where(F.col("m") <= COLD), rest.where(F.col("m") > COLD)
+        left, right = (cold.select("sig", F.col("id").alias(k), F.col("comp").alias(f"comp{k}")) for k in "ab")
+        pairs = left.join(right, "sig").where("a < b and compa != compb").select("a", "b")
+        links = keep(links.union(linked(pairs.union(_blocked(hot, info, num, den, True)).distinct())))
+        links = keep(links.union(linked(_blocked(labelled(hot), info, num, den, False))))
+        comp = components(links, scratch).withColumnRenamed("id", "doc_id")
+        return kept(rows.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -345,5 +371,3 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     found = near_duplicates(docs, width, num, den)
     drop = found.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti")
-
-
