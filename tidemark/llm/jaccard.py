@@ -256,7 +256,7 @@ def possible(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in range(2)], ["a", "b"])
 
     left, right = (info.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
-    near = pairs.join(left, "a").join(right, "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+    near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
     return near.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
@@ -270,7 +270,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in range(2)], ["a", "b"])
 
     left, right = (sets.select(F.col("id").alias(k), F.col("tokens").alias(f"tokens{k}")) for k in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "tokensa", "tokensb").mapInArrow(run, "a long, b long")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "tokensa", "tokensb").mapInArrow(run, "a long, b long")
 
 
 def _across(rows: list[tuple[int, int, int, int, bytes]], same_block: bool, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             copies = links.select(F.col("a").alias("doc_id")).distinct()
             own = whole.where("doc_id is not null").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
             heads = own.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("m")).where("pivot != last")
-            shared = keep(own.join(heads, "sig").select("sig", "id", "pivot", "m"))
+            shared = keep(own.join(heads.hint("merge"), "sig").select("sig", "id", "pivot", "m"))
         info = known.select(F.col("doc_id").alias("id"), "n", "bits").distinct()
 
         def linked(pairs: DataFrame) -> DataFrame:
