@@ -3,14 +3,18 @@
 Terms are words (A-Z folded) of at least MIN_CHARS characters. The lexicon keeps terms that occur in at least
 LOW and at most HIGH of all documents that have a term (and in two documents at least): a term's document
 frequency is LOW * documents or more, so there are at most (mean distinct terms of a document) / LOW terms,
-however large the corpus; that bound lets the lexicon be broadcast. Each term belongs to some of SUBSETS random
+however large the corpus. It goes to the tasks as one array of short lists, found by a term's hash; a lexicon of more than
+LEXICON terms, for which texts would have to be books, is refused. Each term belongs to some of SUBSETS random
 parts of the lexicon, by its MD5 sum: a quarter of the parts hold 1 of 4 terms, the next 1 of 16, then 1 of 64
 and 1 of 256. A fingerprint has for each part 8 hex digits of the MD5 sum of the document's sorted distinct terms
-in it, or a dash where it has none. The likeness of two fingerprints is the share of equal places among those
-where either has terms; two without terms are alike (1) if both are empty of terms.
-
-Null texts count as empty. A null doc_id comes after all others; documents of one doc_id have the same next
-document, and of several texts with one doc_id the least is the one that the others see.
+in it, or a dash where it has none. A document without a lexicon term in any part has "x" and the MD5 sum of all its
+sorted distinct terms instead, or of its text if it has no terms. The likeness of two fingerprints is the share of equal places among those
+where either has terms; one of all terms is like (1) an equal one only.
+
+The next document is found by windows over ranges of 2 ** 12 ids, in the one shuffle that the texts go through; only the
+lowest document of a range looks into another. Null texts count as empty. Documents without doc_id come after all
+others; rows of one doc_id have the same next document, and of several texts with one doc_id the greatest is the one
+that the others see. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,50 +23,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept, lower_ascii
+from tidemark.llm.common import Scratch, kept, lower_ascii
 
 MIN_CHARS, LOW, HIGH, SUBSETS = 3, 0.0005, 0.05, 32
 #: Bits of an id that a window may span; LEVELS of them leave 2 ** 16 rows at most for the last one.
 _STEP, _LEVELS = 12, 4
-_NONE = -(1 << 63)
+LEXICON = 500_000
 
 
 def terms(text: Column) -> Column:
     """The distinct terms of a text."""
-    return F.array_distinct(F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda x: F.length(x) >= MIN_CHARS))
+    low = lower_ascii(F.coalesce(text, F.lit("")))
+    for space in "\t\n\v\f\r":  # with one kind of white space left, the text is cut without a pattern
+        low = F.replace(low, F.lit(space), F.lit(" "))
+    return F.array_distinct(F.filter(F.split(low, " "), lambda x: F.length(x) >= MIN_CHARS))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """term and parts (bit j: belongs to subset j)."""
-    own = docs.select(terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    n = own.agg(F.count("*").alias("n"))
-    df = own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = df.where("df >= 2").join(F.broadcast(n), (F.col("df") >= F.col("n") * low) & (F.col("df") <= F.greatest(F.col("n") * high, F.lit(2.0))))
-    # Eight random words of 32 bits; a bit of the first two is set in both for 1 of 4 terms, of four words for 1 of 16, and so on.
-    word = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{i // 4}:"), "term").cast("binary")), i % 4 * 8 + 1, 8), 16, 10).cast("long") for i in range(8)]
-    parts, met = F.lit(0).cast("long"), F.lit(0xFFFFFFFF)
+    with Scratch(docs.sparkSession) as scratch:
+        # A document's first term counts it, so one pass gives document frequencies and the number of documents.
+        own = docs.select(F.posexplode(terms(F.col("text"))).alias("at", "term"))
+        df = scratch.keep(own.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("at") == 0).alias("first")))
+        n = df.agg(F.sum("first").alias("n"))
+        band = df.where("df >= 2").join(F.broadcast(n), (F.col("df") >= F.col("n") * low) & (F.col("df") <= F.greatest(F.col("n") * high, F.lit(2.0))))
+        # Eight random words of 32 bits; a bit of the first two is set in both for 1 of 4 terms, of four words for 1 of 16, and so on.
+        word = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{i // 4}:"), "term").cast("binary")), i % 4 * 8 + 1, 8), 16, 10).cast("long") for i in range(8)]
+        parts, met = F.lit(0).cast("long"), F.lit(0xFFFFFFFF)
+        for i in range(4):
+            met = met.bitwiseAND(word[2 * i]).bitwiseAND(word[2 * i + 1])
+            parts = parts.bitwiseOR(met.bitwiseAND(F.lit(0xFF << 8 * i)))
+        found = kept(band.select("term", parts.alias("parts")).where("parts != 0"))
+    if (size := found.count()) > LEXICON:
+        raise ValueError(f"a lexicon of {size} terms is too large to send to the tasks; raise low")
+    return found
+
+
+def slots(words: DataFrame) -> tuple[Column, int]:
+    """The lexicon as a constant array of arrays of structs with t (term) and p (parts), and the number of its arrays; a term is in the one of its hash."""
+    n = max(1, words.count() // 2)
+    full = words.groupBy(F.pmod(F.xxhash64("term"), F.lit(n)).alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("term").alias("t"), F.col("parts").alias("p")))).alias("own"))
+    every = words.sparkSession.range(n).join(full, "id", "left").select("id", F.coalesce("own", F.array()).alias("own"))
+    row = every.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("id", "own"))), lambda x: x["own"])).alias("all")).first()
+    return F.from_json(F.lit(row["all"]), "array<array<struct<t:string,p:bigint>>>"), n
+
+
+def printed(rows: DataFrame, table: tuple[Column, int], text: str, name: str) -> DataFrame:
+    """rows with the column `name`: the fingerprint of their text."""
+    lists, n = table
+    own = F.flatten(F.transform("_terms", lambda t: F.filter(F.element_at(lists, F.pmod(F.xxhash64(t), F.lit(n)).cast("int") + 1), lambda e: e["t"] == t)))
+    rows = rows.withColumn("_terms", terms(F.col(text))).withColumn("_own", F.sort_array(own))
+    # Few terms are in the thinner parts, so these look at those only.
     for i in range(4):
-        met = met.bitwiseAND(word[2 * i]).bitwiseAND(word[2 * i + 1])
-        parts = parts.bitwiseOR(met.bitwiseAND(F.lit(0xFF << 8 * i)))
-    return band.select("term", parts.alias("parts")).where("parts != 0")
-
-
-def fingerprint(own: Column) -> Column:
-    """From sorted distinct structs with term and parts."""
+        level = F.lit(0xFF << 8 * i)
+        rows = rows.withColumn(f"_own{i}", F.filter("_own", lambda e: e["p"].bitwiseAND(level) != 0))  # noqa: B023
 
     def part(j: int) -> Column:
-        inside = F.filter(own, lambda x: x["parts"].bitwiseAND(F.lit(1 << j)) != 0)
-        return F.when(F.size(inside) == 0, "-").otherwise(F.substring(F.md5(F.array_join(F.transform(inside, lambda x: x["term"]), " ").cast("binary")), 1, 8))
+        return F.transform(F.filter(f"_own{j // 8}", lambda e: e["p"].bitwiseAND(F.lit(1 << j)) != 0), lambda e: e["t"])
 
-    return F.concat_ws(".", *map(part, range(SUBSETS)))
+    rows = rows.withColumn("_in", F.array(*map(part, range(SUBSETS))))
+    whole = F.when(F.size("_terms") > 0, F.array_join(F.sort_array("_terms"), " ")).otherwise(F.col(text))
+    sums = F.transform("_in", lambda x: F.when(F.size(x) == 0, "-").otherwise(F.substring(F.md5(F.array_join(x, " ").cast("binary")), 1, 8)))
+    rows = rows.withColumn(name, F.when(F.size("_own") == 0, F.concat(F.lit("x"), F.md5(whole.cast("binary")))).otherwise(F.array_join(sums, ".")))
+    return rows.drop("_terms", "_own", "_in", *(f"_own{i}" for i in range(4)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal places that are not empty, of those that are not empty in both; 1 for two empty fingerprints."""
+    """Equal places that are not empty, of those that are not empty in both; fingerprints of all terms are like equal ones only."""
     pair = F.arrays_zip(F.split(a, r"\.").alias("a"), F.split(b, r"\.").alias("b"))
     same = F.size(F.filter(pair, lambda x: (x["a"] == x["b"]) & (x["a"] != "-")))
     some = F.size(F.filter(pair, lambda x: (x["a"] != "-") | (x["b"] != "-")))
-    return F.when(some == 0, F.lit(1.0)).otherwise(same.cast("double") / F.greatest(some, F.lit(1)))
+    return F.when(a == b, F.lit(1.0)).when(a.startswith("x") | b.startswith("x"), F.lit(0.0)).otherwise(same.cast("double") / F.greatest(some, F.lit(1)))
 
 
 def following(rows: DataFrame, levels: int = _LEVELS) -> DataFrame:
@@ -79,40 +110,43 @@ def following(rows: DataFrame, levels: int = _LEVELS) -> DataFrame:
     return own.join(up, "cell").select("key", "head", F.coalesce("next", "above").alias("next"))
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, key, text, n_chars, edited and for_key: the document (by key) whose next document this one is.
-
-    The next document has the next lower doc_id; after the lowest comes the highest.
-    """
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NONE)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("n_chars", F.length("text").cast("long"))
-    ids = kept(base.groupBy("key").agg(F.max("n_chars").alias("n")).select("key", F.struct("key", "n").alias("head")))
-    lowest = ids.agg(F.min_by("head", "key").alias("lowest"))
-    links = kept(following(ids).join(F.broadcast(lowest)).select("key", F.coalesce("next", "lowest").alias("user")))
-    linked = base.join(links, "key").select("doc_id", "key", "text", "n_chars", F.col("user.key").alias("for_key"), F.floor(F.col("user.n") / 3).cast("int").alias("cut"))
-    # A document gives only as much of its text as its user can need.
-    starts = linked.select(F.col("for_key").alias("key"), F.expr("substring(text, 1, cut)").alias("start")).groupBy("key").agg(F.min("start").alias("start"))
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    new = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.expr("substring(start, 1, cast(floor(n_chars / 3) as int))"))
-    return linked.drop("cut").join(starts, "key").withColumn("edited", F.when(third > 0, new).otherwise(F.col("text")))
-
-
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each document."""
-    spark = docs.sparkSession
-    # The empty term is a mark that each row has once: it keeps rows without terms and counts repeated rows.
-    words = lexicon(docs).union(spark.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("parts")))
-    rows = edited(docs).withColumns({"text_md5": F.md5(F.col("text").cast("binary")), "edited_sha256": F.sha2("edited", 256)})
-    of = lambda kind, text: F.transform(terms(F.col(text)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("term")))
-    mark = F.array(F.struct(F.lit(0).alias("kind"), F.lit("").alias("term")))
-    keys = ["key", "doc_id", "n_chars", "for_key", "text_md5", "edited_sha256"]
-    flat = rows.select(*keys, F.explode(F.concat(mark, of(1, "text"), of(2, "edited"))).alias("x")).select(*keys, "x.kind", "x.term")
-    # Rows are still dealt out by key, so this needs no shuffle.
-    own = flat.join(F.broadcast(words), "term").groupBy(*keys).agg(F.count_if(F.col("kind") == 0).alias("times"), *(F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.struct("term", "parts")))).alias(f"own{k}") for k in (1, 2)))
-    wide = kept(own.select("key", "doc_id", "n_chars", "for_key", "edited_sha256", "times", fingerprint(F.col("own1")).alias("fingerprint"), fingerprint(F.col("own2")).alias("edited_fingerprint")))
-    nexts = wide.groupBy("for_key").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("for_key", "key")
-    out = wide.drop("for_key").join(nexts, "key").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    table = slots(lexicon(docs))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Rows without id need no neighbour, so they are spread over cells that no id has.
+    base = base.withColumn("cell", F.coalesce(F.shiftright("doc_id", _STEP), F.lit(-(1 << 53)) - F.pmod(F.xxhash64("text"), F.lit(1 << 12))))
+    named = base.where("doc_id is not null")
+    # Of each range of ids the next lower one's greatest id, and its text.
+    cells = kept(docs.where("doc_id is not null").groupBy(F.shiftright("doc_id", _STEP).alias("cell")).agg(F.max("doc_id").alias("high")))
+    lower = following(cells.select((-F.col("cell")).alias("key"), F.col("high").alias("head"))).select((-F.col("key")).alias("cell"), F.col("next").alias("id"))
+
+    def seen(ids: DataFrame, *keep: str) -> DataFrame:
+        """The text that others see of the ids, and its fingerprint."""
+        texts = named.select(F.col("doc_id").alias("id"), "text").join(ids, "id").groupBy(*keep, "id").agg(F.max("text").alias("text"))
+        return printed(texts, table, "text", "print")
+
+    ends = seen(cells.agg(F.max("high").alias("id"))).agg(F.first(F.struct(F.col("id").alias("doc_id"), "text", "print")).alias("first"))
+    last = printed(base.where("doc_id is null").agg(F.max("text").alias("text")).where("text is not null"), table, "text", "print")
+    last = last.agg(F.first(F.struct(F.lit(None).cast("long").alias("doc_id"), "text", "print")).alias("last"))
+    ends = F.broadcast(kept(ends.crossJoin(last)))  # one row: what comes after the last document, and the one without id
+    below = kept(seen(lower.where("id is not null"), "cell").select("cell", F.struct(F.col("id").alias("doc_id"), "text", "print").alias("top")))
+
+    before = W.partitionBy("cell").orderBy("doc_id").rangeBetween(W.unboundedPreceding, -1)
+    rows = base.withColumn("under", F.max(F.struct("doc_id", "text")).over(before)).join(below, "cell", "left").crossJoin(ends)
+    no_id = F.col("doc_id").isNull()
+    other = F.when(no_id, F.coalesce("first", "last")).otherwise(F.coalesce("top", "last", "first"))
+    rows = rows.select("doc_id", "cell", "text", F.when(no_id | F.col("under").isNull(), other["text"]).otherwise(F.col("under.text")).alias("next"), other["print"].alias("other"))
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    new = F.when(third > 0, F.concat(F.substring("text", F.lit(1), n - third), F.substring("next", F.lit(1), third))).otherwise(F.col("text"))
+    rows = rows.select("doc_id", "cell", "other", "text", n.cast("long").alias("n_chars"), new.alias("edited"))
+    rows = printed(printed(rows, table, "text", "fingerprint"), table, "edited", "edited_fingerprint")
+    rows = rows.select("doc_id", "cell", "other", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
+    # The same window again: rows are still dealt and sorted by it, so this needs no shuffle.
+    rows = rows.withColumn("under", F.when(~no_id, F.max(F.struct("doc_id", "fingerprint")).over(before)["fingerprint"]))
+    near_next = likeness(F.col("fingerprint"), F.coalesce("under", "other"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), near_next.alias("near_next"))
 
 
 #: The same in DuckDB's SQL, for tables with distinct doc_ids that are not null.
@@ -131,10 +165,13 @@ part AS (SELECT term, j FROM w, range(32) r(j)
   WHERE ((CASE j // 8 WHEN 0 THEN w0 & w1 WHEN 1 THEN w0 & w1 & w2 & w3 WHEN 2 THEN w0 & w1 & w2 & w3 & w4 & w5 ELSE w0 & w1 & w2 & w3 & w4 & w5 & w6 & w7 END) >> j) & 1 = 1),
 h AS (SELECT doc_id, kind, j, substring(md5(string_agg(tok.term, ' ' ORDER BY tok.term)), 1, 8) AS h FROM tok JOIN part ON tok.term = part.term GROUP BY doc_id, kind, j),
 g AS (SELECT doc_id, kind, j, coalesce(h.h, '-') AS h FROM (SELECT doc_id, kind, j FROM d, range({SUBSETS}) r(j), (SELECT unnest([1, 2]) AS kind)) LEFT JOIN h USING (doc_id, kind, j)),
-f AS (SELECT doc_id, string_agg(h, '.' ORDER BY j) FILTER (kind = 1) AS fingerprint, string_agg(h, '.' ORDER BY j) FILTER (kind = 2) AS edited_fingerprint FROM g GROUP BY doc_id),
+allt AS (SELECT doc_id, kind, md5(string_agg(term, ' ' ORDER BY term)) AS m FROM tok GROUP BY doc_id, kind),
+f AS (SELECT g.doc_id, g.kind, CASE WHEN bool_and(g.h = '-') THEN 'x' || coalesce(any_value(allt.m), md5(CASE WHEN g.kind = 1 THEN any_value(ed.t) ELSE any_value(ed.e) END)) ELSE string_agg(g.h, '.' ORDER BY g.j) END AS fp
+  FROM g JOIN ed ON ed.doc_id = g.doc_id LEFT JOIN allt ON allt.doc_id = g.doc_id AND allt.kind = g.kind GROUP BY g.doc_id, g.kind),
 near AS (SELECT a.doc_id, count(*) FILTER (a.h = b.h AND a.h <> '-') AS s1, count(*) FILTER (a.h <> '-' OR b.h <> '-') AS n1, count(*) FILTER (a.h = c.h AND a.h <> '-') AS s2, count(*) FILTER (a.h <> '-' OR c.h <> '-') AS n2
   FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.j = b.j AND a.kind = 1 AND b.kind = 2 JOIN ed ON ed.doc_id = a.doc_id JOIN g c ON c.doc_id = ed.next_id AND c.j = a.j AND c.kind = 1 GROUP BY a.doc_id)
-SELECT ed.doc_id, n AS n_chars, sha256(e) AS edited_sha256, fingerprint, edited_fingerprint,
-  CASE WHEN n1 = 0 THEN 1.0 ELSE CAST(s1 AS DOUBLE) / n1 END::DOUBLE AS near_edited, CASE WHEN n2 = 0 THEN 1.0 ELSE CAST(s2 AS DOUBLE) / n2 END::DOUBLE AS near_next
-FROM ed JOIN f USING (doc_id) JOIN near USING (doc_id)
+SELECT ed.doc_id, n AS n_chars, sha256(e) AS edited_sha256, f1.fp AS fingerprint, f2.fp AS edited_fingerprint,
+  (CASE WHEN f1.fp = f2.fp THEN 1.0 WHEN f1.fp[1] = 'x' OR f2.fp[1] = 'x' THEN 0.0 ELSE CAST(s1 AS DOUBLE) / n1 END)::DOUBLE AS near_edited,
+  (CASE WHEN f1.fp = f3.fp THEN 1.0 WHEN f1.fp[1] = 'x' OR f3.fp[1] = 'x' THEN 0.0 ELSE CAST(s2 AS DOUBLE) / n2 END)::DOUBLE AS near_next
+FROM ed JOIN f f1 ON f1.doc_id = ed.doc_id AND f1.kind = 1 JOIN f f2 ON f2.doc_id = ed.doc_id AND f2.kind = 2 JOIN f f3 ON f3.doc_id = ed.next_id AND f3.kind = 1 JOIN near ON near.doc_id = ed.doc_id
 """
