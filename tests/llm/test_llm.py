@@ -325,3 +325,80 @@ def test_fingerprints_of_odd_tables(spark):
     assert (1 << 40, sha("uvwxyzuv")) in got  # the next one, 9, has no text: only the first two thirds are left
     alone = imatch.compared(spark.createDataFrame([(None, "nonono", None, None)], schema)).collect()
     assert [(r.edited_sha256, r.near_next) for r in alone] == [(sha("nonono"), 1.0)]
+
+
+def test_language_of_odd_tables(spark):
+    docs = spark.createDataFrame([(i, t, k, None, None) for i, (t, k) in enumerate([("the tide went out over the sand", "en"), ("el mar y la arena de la playa", "es")] * 30)], SCHEMA)
+    schema = "page_id long, url string, html string, p int, host int"
+    model = language.fit(docs)
+    assert language.identify(spark.createDataFrame([], schema), model).count() == 0
+    none = language.identify(spark.createDataFrame([(1, "http://a.org/", "<p>the tide</p>", 0, 0)], schema), language.fit(docs.limit(0))).collect()
+    assert [(r.page_id, r.language, r.probability) for r in none] == [(1, None, None)]
+    pages = [(i, f"http://es.org/{i}", "<p>la arena de la playa</p>", 0, 0) for i in range(40)] + [(None, None, None, 0, 0), (7, "http://es.org/7", "", 0, 0), (7, "http://es.org/7", "", 0, 0), (9, "x", "<html lang=en>the tide went out over the sand", 0, 0)]
+    got = language.identify(spark.createDataFrame(pages, schema), model).collect()
+    assert len(got) == len(pages) and all(0 < r.probability <= 1 for r in got)
+    assert {r.language for r in got if r.host == "es.org"} == {"es"} and [r.language for r in got if r.page_id == 9 and r.declared] == ["en"]
+
+
+def test_language_leaves_the_page_out(spark):
+    """A page alone on its host has the prior of its suffix, whatever it says itself."""
+    docs = spark.createDataFrame([(i, t, k, None, None) for i, (t, k) in enumerate([("aaa aab", "x"), ("bbb bba", "y")] * 20)], SCHEMA)
+    pages = spark.createDataFrame([(1, "http://one.q/", "aaa"), (2, "http://two.r/", "bbb")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in language.identify(pages, language.fit(docs)).collect()}
+    langs, table = language.fit(docs)
+    post = {}
+    for i, t in ((1, "aaa"), (2, "bbb")):
+        z = table[:, language.grams(t)].astype(np.float32).sum(1, dtype=np.float64)
+        post[i] = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for i, other in ((1, 2), (2, 1)):
+        prior = (post[other] + 1) / (1 + 2)
+        p = post[i] * prior
+        assert abs(got[i].probability - (p / p.sum()).max()) < 1e-5
+
+
+def test_mixed_rows_by_row(spark):
+    rows = [(1, "a b c", None, "s", 1), (1, "a b c", None, "s", 1), (1, "d e", None, "s", 2), (None, "f g h i", None, "s", 3), (None, "j k", None, None, 4), (5, "", None, "s", 5), (6, None, None, "s", 6)] + [(i, "w " * i, None, "t", i) for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"row": F.lit("r"), "times": F.lit(9), "_mix_id": F.lit(1)})
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        key = (r.doc_id, r.size)
+        taken[key] = taken.get(key, 0) + r.taken // max(1, r.size)
+    out = mixing.mixed_rows(docs)
+    got = {}
+    for r in out.collect():
+        key = (r.doc_id, len((r.text or "").split()))
+        got[key] = got.get(key, 0) + 1
+    assert out.columns == docs.columns and got == {k: v for k, v in taken.items() if v} and not any(k[1] == 0 for k in got)
+    assert mixing.mixed_rows(docs.limit(0)).count() == 0
+
+
+def test_classifiers_of_odd_tables(spark):
+    """Null, empty, repeated and very long texts, null ids, no labels at all, clashing names."""
+    rows = [(i, t, None, None, None) for i, t in enumerate(["", None, "a", "word " * 60_000, "word " * 60_000])] + [(None, "x y", None, None, None), (2, "b", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"score": F.lit("s"), "toxic": F.lit(1), "quality": F.lit(0)})
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for predictions in (quality.predictions, toxicity.predictions):
+        got = predictions(docs, labels).collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+        assert len({r.score for r in got if r.doc_id in (0, 1)}) == 1 and len({r.score for r in got if r.doc_id in (3, 4)}) == 1
+        assert predictions(docs.limit(0), labels).count() == 0
+    both = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 1, 0), (3, None, None), (None, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.predictions(docs, both).count() == toxicity.predictions(docs, both).count() == len(rows)
+
+
+def test_predictions_hold_out(spark):
+    """The queries' own path: rows of the held-out remainders are scored well though never learned from."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    for predictions, label in ((quality.predictions, "quality"), (toxicity.predictions, "toxic")):
+        rows = predictions(docs, labels).join(labels, "doc_id").where("held_out").collect()
+        assert len(rows) > 50 and np.mean([r.predicted == r[label] for r in rows]) > 0.93
+
+
+def test_pii_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "mail a@b.org"), (2, "1.2.3.4 " * 2000), (2, "1.2.3.4 " * 2000)], "doc_id long, text string").withColumns({"spans": F.lit(1), "n_ip": F.lit(2)})
+    model = pii.fit(docs)
+    got = sorted((r.doc_id or 0, r.n_ip) for r in pii.spans(docs, model).collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (2, 2000), (2, 2000)]
+    assert pii.spans(docs.limit(0), model).count() == 0 and pii.fit(docs.limit(0)).spans(["a@b.org"])[0][1] == [(0, 0, 7)]
+    assert sorted(r.text or "" for r in pii.redacted(docs, model).collect())[2] == "[IP] " * 2000

@@ -4,13 +4,14 @@ Text likelihoods come from a naive Bayes model of hashed byte trigrams, tempered
 the text's length. They are fused with the declared markup language, the address suffix and a prior for the
 host. What declarations and suffixes say about languages, and the priors, are estimated from the pages by
 grouped aggregation of the text posteriors: a host's prior is smoothed towards that of its suffix, and that
-towards the prior of all pages, each with KAPPA pseudo-counts. Sums are taken before the shuffle, so a
-host with a third of all pages costs no more than others.
+towards the prior of all pages, each with KAPPA pseudo-counts, and all of them leave out the page that they are used
+for. Sums are taken before the shuffle, so a host with a third of all pages costs no more than others.
 
 The trigram model has all languages of the documents, however rare, and learns each from at most LANG_ROWS of
 its documents, those of smallest doc_id hash; the number of languages must be small (they are columns of the
 model). Null or empty pages rest on the
-other evidence; pages without any get the overall prior; an empty table gives an empty result.
+other evidence; pages without any get the overall prior; an empty table of
+pages gives an empty result, and one of documents null languages and probabilities.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import host
-from tidemark.llm.common import pieces, texts
+from tidemark.llm.common import kept, pieces, texts
 
 BITS, LANG_ROWS, KAPPA = 15, 1000, 5.0
 _TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>")
@@ -71,30 +72,30 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
 
     name = host(F.coalesce("url", F.lit("")))
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1))
-    source = pages.select("page_id", name.alias("host"), F.regexp_extract(name, r"([^.]*)$", 1).alias("suffix"), declared.alias("declared"), F.coalesce("html", F.lit("")).alias("html"))
-    scored = source.mapInArrow(run, "page_id long, host string, suffix string, declared string, loglik array<double>")
+    source = pages.select("page_id", F.coalesce(name, F.lit("")).alias("host"), F.regexp_extract(F.coalesce(name, F.lit("")), r"([^.]*)$", 1).alias("suffix"), declared.alias("declared"), F.coalesce("html", F.lit("")).alias("html"))
+    if not langs:
+        return source.select("page_id", "host", "declared", "suffix", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"))
+    scored = kept(source.mapInArrow(run, "page_id long, host string, suffix string, declared string, loglik array<double>"))
     n = range(len(langs))
-    weights = [F.exp(F.col("loglik")[i]) for i in n]
-    total = sum(weights[1:], weights[0])
-    post = F.array(*(w / total for w in weights))
-
-    def sums(*by: str) -> DataFrame:
-        return scored.groupBy(*by).agg(*(F.sum(post[i]).alias(f"s{i}") for i in n), F.count("*").alias("m"))
-
-    def smoothed(df: DataFrame, parent: list) -> list:
-        return [(F.col(f"s{i}") + KAPPA * parent[i]) / (F.col("m") + KAPPA) for i in n]
-
-    whole = sums().select(F.array(*((F.coalesce(f"s{i}", F.lit(0.0)) + 1) / (F.col("m") + len(langs)) for i in n)).alias("base"))
-    by_suffix = sums("suffix").crossJoin(F.broadcast(whole))
-    by_suffix = by_suffix.select("suffix", "base", F.array(*smoothed(by_suffix, [F.col("base")[i] for i in n])).alias("suffix_prior"))
-    by_host = sums("host", "suffix").join(by_suffix, "suffix")
-    by_host = by_host.select("host", "suffix", "base", "suffix_prior", F.array(*smoothed(by_host, [F.col("suffix_prior")[i] for i in n])).alias("prior"))
-    # P(declared | language), up to a factor that is the same for all languages.
-    by_mark = sums("declared").crossJoin(F.broadcast(whole))
-    by_mark = by_mark.select("declared", F.array(*(p / F.col("base")[i] for i, p in enumerate(smoothed(by_mark, [F.col("base")[i] for i in n])))).alias("mark"))
-    joined = scored.join(by_mark, "declared").join(by_host, ["host", "suffix"])
-    # The suffix speaks through the host's prior, which is smoothed towards it.
-    z = F.array(*(F.col("loglik")[i] + F.log(F.col("prior")[i]) + F.when(F.col("declared") == "", 0.0).otherwise(F.log(F.col("mark")[i])) for i in n))
-    fused = joined.select("page_id", "host", "declared", "suffix", z.alias("z")).withColumn("top", F.array_max("z"))
-    p = 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    return fused.select("page_id", "host", "declared", "suffix", F.element_at(F.array(*map(F.lit, langs)), F.array_position("z", F.col("top")).cast("int")).alias("language"), p.alias("probability"))
+    weights = F.transform("loglik", lambda x: F.exp(x))
+    scored = scored.withColumn("p", F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda a, y: a + y)))
+
+    def sums(name: str, *by: str) -> DataFrame:
+        """The sum of the posteriors, an array called name, and the number of pages, by these columns."""
+        return scored.groupBy(*by).agg(F.array(*(F.sum(F.col("p")[i]) for i in n)).alias(name), F.count("*").alias(f"{name}_n"))
+
+    # A page's own posterior is taken out of all sums that it meets: it has its say by its likelihood. Hot hosts are a skewed
+    # join of a table with one row for each host, which Spark splits.
+    joined = scored.join(sums("h", "host"), "host").join(sums("s", "suffix"), "suffix").join(sums("d", "declared"), "declared").crossJoin(F.broadcast(sums("w")))
+
+    def prior(name: str, parent: str) -> Column:
+        return F.transform(parent, lambda x, i: (F.greatest(F.get(name, i) - F.get("p", i), F.lit(0.0)) + KAPPA * x) / (F.col(f"{name}_n") - 1 + KAPPA))
+
+    joined = joined.withColumn("base", F.transform("w", lambda x, i: (F.greatest(x - F.get("p", i), F.lit(0.0)) + 1) / (F.col("w_n") - 1 + len(langs))))
+    joined = joined.withColumn("of_suffix", prior("s", "base")).withColumn("of_host", prior("h", "of_suffix")).withColumn("mark", prior("d", "base"))
+    # P(declared | language), up to a factor that is the same for all languages. The suffix speaks through the host's prior, which is smoothed towards it.
+    said = lambda i: F.when(F.col("declared") == "", 0.0).otherwise(F.log(F.get("mark", i)) - F.log(F.get("base", i)))
+    fused = joined.withColumn("z", F.transform("loglik", lambda x, i: x + F.log(F.get("of_host", i)) + said(i)))
+    top = F.array_max("z")
+    chance = 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return fused.select("page_id", "host", "declared", "suffix", F.element_at(F.array(*map(F.lit, langs)), F.array_position("z", top).cast("int")).alias("language"), chance.alias("probability"))

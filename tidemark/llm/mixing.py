@@ -12,8 +12,8 @@ longest length or KNAPSACK words. Only counts decide; which documents of a lengt
 the order of a seeded hash. A histogram has as many rows as lengths occur in the source, so one task holds
 one at a time; documents never meet in one task: those of a length are ranked in slices of about SLICE rows.
 
-Null texts have 0 words and are never taken; null sources are a source of their own; an empty table gives an
-empty result; repeated rows count each by itself (equal ones in any order, which gives equal rows).
+Null texts and texts without words have 0 words and are never taken; null sources are a source of their own; an empty table
+gives an empty result; repeated rows count each by itself (equal ones in any order, which gives equal rows).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,9 +32,9 @@ WEIGHTS, RATE, CAP, SLICE = (3, 1, 2), 1.5, 2.0, 1000
 KNAPSACK = 20_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source (s and its name, x for null: so nulls are equal and come last) and size: the number of words."""
-    return docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("x")).alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source (s and its name, x for null: so nulls are equal and come last), size: the number of words, and more columns."""
+    return docs.select("doc_id", *more, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("x")).alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, rate: float = RATE, cap: float = CAP) -> DataFrame:
@@ -109,9 +109,10 @@ def plan(histogram: DataFrame, budgets: DataFrame) -> DataFrame:
     return histogram.join(budgets, "source").groupBy("source").applyInPandas(run, "source string, size long, count long, passes long, extra long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rate: float = RATE, cap: float = CAP, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: the words taken of each document, repeats counted."""
-    own = sizes(docs)
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rate: float = RATE, cap: float = CAP, seed: int = 11, row: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (the words taken of each document, repeats counted) and times; row too, if given."""
+    more = [] if row is None else [row.alias("row")]
+    own, more = sizes(docs, *more), ["row"] * len(more)
     histogram = own.groupBy("source", "size").agg(F.count("*").alias("count"))
     per_source = targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size")), weights, rate, cap)
     lengths = plan(histogram, per_source)
@@ -121,19 +122,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rate: float = RATE,
     before = F.coalesce(F.sum("n").over(W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = placed.join(in_slice.select("source", "size", "slice", before.alias("before")), ["source", "size", "slice"])
     rank = F.col("before") + F.row_number().over(W.partitionBy("source", "size", "slice").orderBy("hash", "doc_id"))
-    times = F.col("passes") + (rank <= F.col("extra")).cast("long")
-    taken = ranked.select("doc_id", "source", "size", (F.col("size") * times).alias("taken"), times.alias("times"))
-    return taken.join(per_source, "source").select("doc_id", "source", "size", "source_size", "target", "taken", "times")
+    times = F.when(F.col("size") > 0, F.col("passes") + (rank <= F.col("extra")).cast("long")).otherwise(F.lit(0).cast("long"))
+    taken = ranked.select("doc_id", *more, "source", "size", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return taken.join(per_source, "source").select("doc_id", *more, "source", "size", "source_size", "target", "taken", "times")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    chosen = mix(docs, **options).where("times > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("times").alias("_mix_times"))
-    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int"))).alias("_mix_time")).select(docs.columns)
+    """The documents of the mix, each row as often as it is taken, with the columns of docs."""
+    row = F.xxhash64(*docs.columns)
+    # Equal rows have one hash: together they stand as often as the mix takes any of them.
+    chosen = mix(docs, row=row, **options).groupBy("row").agg(F.sum("times").alias("times")).where("times > 0")
+    whole = docs.select(row.alias("row"), F.struct(*docs.columns).alias("whole")).join(chosen.hint("merge"), "row").groupBy("row", "times").agg(F.first("whole").alias("whole"))
+    return whole.select("whole", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("whole.*")
 
 
 def result(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
-
-

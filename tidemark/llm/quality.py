@@ -137,16 +137,16 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "qua
     return train([(r.text or "").encode() for r in rows], np.array([r[label] for r in rows], np.float64))
 
 
-def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, which may hold the text, and score double."""
+def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """`keep` columns, which may hold the text, and the score, a double called name, which must not be among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = net.pairs()
         for b in pieces(batches, limit=1 << 20):
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keep), pa.array(net.score(*utf8(b), pairs), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keep), pa.array(net.score(*utf8(b), pairs), pa.float64())], [*keep, name])
 
     source = docs.select(*dict.fromkeys((*keep, "text")))
-    return source.mapInArrow(run, ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keep) + ", score double")
+    return source.mapInArrow(run, ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keep) + f", `{name}` double")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ zero, the step goes the other way, so that the classifier cannot overfit the pos
 in hashed words and word beginnings of 4, 6 and 8 bytes, each counted once a text, with a proximal L1 step
 that leaves weights only on what tells toxic text; long texts therefore collect no noise.
 
-Training: at most POSITIVES toxic and UNLABELLED other documents, those of smallest doc_id hash, each taken
-whole; the prior is the share of toxic rows among all labelled training rows. Scoring reads whole texts in one
+Training: at most POSITIVES toxic documents, and UNLABELLED of all that may be learned from, toxic ones among them as
+the risk asks, those of smallest doc_id hash, each taken whole; the prior is the share of toxic rows among all labelled training rows. Scoring reads whole texts in one
 pass without a shuffle. Null and empty texts have no features and get the score of the intercept; without
 positives that score is near 0.
 """
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column) -> tuple[np.ndarr
     share = known.agg(F.avg("toxic")).first()[0]
     prior = min(0.5, max(1e-3, share or 0.0))
     toxic = sampled(known.where("toxic = 1"), POSITIVES).withColumn("toxic", F.lit(True))
-    rest = sampled(docs.where(learnable), UNLABELLED).join(F.broadcast(toxic.select("doc_id")), "doc_id", "left_anti").withColumn("toxic", F.lit(False))
+    rest = sampled(docs.where(learnable), UNLABELLED).withColumn("toxic", F.lit(False))
     rows = docs.select("doc_id", "text").join(F.broadcast(toxic.union(rest)), "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return train([(r.text or "").encode() for r in rows if r.toxic], [(r.text or "").encode() for r in rows if not r.toxic], prior)
