@@ -6,20 +6,23 @@ return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard, mixing, pii, quality
-from tidemark.llm.common import bucket_of, documents, folder, table
+from tidemark.llm.common import Scratch, bucket_of, documents, kept, table
 from tidemark.llm.queries import PATTERN, RANKS
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality probability is 0.5 or more; the network learns as in op9."""
     net = quality.fit(docs, table(spark, sf_dir, "labels"), bucket_of(F.col("doc_id"), 3) != 1)
-    return quality.score(docs, net, tuple(docs.columns)).where("score >= 0.5").select(docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return quality.score(docs, net, tuple(docs.columns), name).where(F.col(name) >= 0.5).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each one's rows are written as Parquet to the shared folder and read again."""
-    docs, base = documents(spark, sf_dir), f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    return docs
+    """All stages on documents; each one's rows are written as Parquet to the shared folder and read again, and dropped when the next one's are there."""
+    docs = documents(spark, sf_dir)
+    with ExitStack() as before:
+        for _, stage in STAGES[:-1]:
+            with ExitStack() as own:
+                docs = own.enter_context(Scratch(spark)).keep(stage(spark, docs, sf_dir))
+                before.close()
+                before.push(own.pop_all())
+        return kept(STAGES[-1][1](spark, docs, sf_dir))
