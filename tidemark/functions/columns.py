@@ -38,31 +38,59 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)).cast("double") / union)
 
 
-def host(url: Column) -> Column:
-    """The lower-case host of an http(s) address without www."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1)), r"^www\.", "")
-
-
-def topic_url(url: Column) -> Column:
-    """http(s) address without fragment, tracking parameters (utm_*, fbclid, gclid), www. and last slash; the other parameters sorted."""
-    bare = F.regexp_replace(url, r"#.*$", "")
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^https?://[^/?]+([^?]*)", 1), r"/+$", ""), r"^$", "")
-    query = F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&")
-    kept = F.array_sort(F.filter(query, lambda p: (p != "") & ~p.rlike("^(utm_[^=]*|fbclid|gclid)(=|$)")))
-    scheme = F.lower(F.regexp_extract(bare, r"^(https?)://", 1))
-    whole = F.concat(scheme, F.lit("://"), host(bare), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
-    return F.when(url.rlike(r"^https?://[^/?#\s@]+"), whole)
-
-
 def page_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+def page_titles(html: Column) -> Column:
+    """What a page calls itself: its title without tags, the part before each divider that a capital or CJK character follows, and its first heading; distinct, none blank."""
+    bare = F.trim(F.regexp_replace(page_title(html), "<[^>]+>", ""))
+    first = F.trim(F.regexp_extract(bare, r"(?s)^(.*?)\s*[|\-\u2013\u2014]\s*(?=[A-Z\u4e00-\u9fff])", 1))
+    return F.array_distinct(F.filter(F.array(bare, first, page_heading(html)), lambda t: t != ""))
+
+
 def page_heading(html: Column) -> Column:
     """The first h1, without tags."""
     return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", ""))
 
 
-def shown_date(x: Column) -> Column:
+def iso_date(x: Column) -> Column:
     """A date of the form yyyy-mm-dd that exists, or null."""
-    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.to_date(x))
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, "yyyy-MM-dd"))
+
+
+def half_even(x: Column, places: int = 2) -> Column:
+    """Halves go to the even neighbour."""
+    return F.bround(x, places)
+
+
+def clamp01(x: Column, default: float = 0.0) -> Column:
+    """Between 0 and 1; the default for null and NaN."""
+    return F.when(x.isNull() | F.isnan(x), default).otherwise(clamp(x, 0.0, 1.0))
+
+
+def capped(x: Column, most: int) -> Column:
+    """Line ends as spaces, trimmed, at most so many characters."""
+    return F.substring(F.trim(F.translate(x, "\r\n", "  ")), 1, most)
+
+
+def lag_hours(later: Column, earlier: Column) -> Column:
+    """Hours between two timestamps, not below 0, to 4 places."""
+    return half_up(F.greatest(F.lit(0), F.unix_millis(later) - F.unix_millis(earlier)) / 3.6e6, 4)
+
+
+def day_number(day: Column) -> Column:
+    return F.unix_date(day)
+
+
+def local_day(ts: Column, zone: str = "Asia/Taipei") -> Column:
+    """The date at a place of an instant that the session shows in UTC."""
+    return F.to_date(F.from_utc_timestamp(ts, zone))
+
+
+def word_overlap(a: Column, b: Column) -> Column:
+    """Shared words of two titles over those of the longer one; 0.7 at least where one is part of the other; 0 if either is empty."""
+    x, y = (F.filter(F.array_distinct(F.split(norm_title(t), " ")), lambda w: w != "") for t in (a, b))
+    low, other = norm_title(a), norm_title(b)
+    shared = F.size(F.array_intersect(x, y)).cast("double") / F.greatest(F.size(x), F.size(y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(low.contains(other) | other.contains(low), F.greatest(F.lit(0.7), shared)).otherwise(shared)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import half_up, host, norm_title, page_heading, page_title, tokens, topic_url
-from tidemark.operators import feedback, merge, series, topics
+from tidemark.functions import half_up, host, ingest_url, norm_title, page_heading, page_title, tokens, topic_url, word_overlap
+from tidemark.operators import feedback, health, merge, rules, series, topics, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,29 +191,127 @@ def document_jaccard_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.novelty(a, "doc_id", b, "item_id").select("doc_id", half_up(F.col("n")).alias("novelty"))
 
 
-_URL = r"""CASE WHEN regexp_matches(url, '^https?://[^/?#\s@]+') THEN lower(regexp_extract(b, '^(https?)://', 1)) || '://' || regexp_replace(lower(regexp_extract(b, '^https?://([^/?#:]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(b, '^https?://[^/?]+([^?]*)', 1), '/+$', '')
- || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END"""
+_PLAIN = r"""(?i)https?://[^/?#@\s<>"'\\]+([/?#][^\s<>"']*)?""".replace("'", "''")
+_PARTS = r"""list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '')"""
+_EACH = "CASE WHEN contains(p, '=') THEN p ELSE p || '=' END"
+_URL = rf"""CASE WHEN regexp_full_match(url, '{_PLAIN}') THEN regexp_replace(regexp_replace(lower(regexp_extract(url, '(?i)^(https?://[^/?#]*)', 1)), '^(https://.*):443$|^(http://.*):80$', '\1\2'), '://www\.', '://')
+ || coalesce(nullif(regexp_replace(regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1), '/$', ''), ''), '/') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END"""
 
 
-@query(rf"SELECT key, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, {_URL} AS key FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|fbclid|gclid)(=|$)'))) AS q FROM (SELECT *, regexp_replace(url, '#.*$', '') AS b FROM pages))) WHERE key IS NOT NULL GROUP BY key")
+@query(rf"SELECT key, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, {_URL} AS key FROM (SELECT *, list_transform(list_sort(list_filter(list_transform({_PARTS}, lambda p, i: {{'name': regexp_extract(p, '^[^=]*'), 'i': i, 'p': {_EACH}}}), lambda x: NOT regexp_full_match(x.name, '(?i)(utm_.*|fbclid|gclid)'))), lambda x: x.p) AS q FROM pages)) WHERE key IS NOT NULL GROUP BY key")
 def canonical_url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", topic_url(F.col("url")).alias("key")).where("key is not null").groupBy("key").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
+@query(rf"SELECT key, count(*) AS n, min(page_id) AS page_id FROM (SELECT page_id, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*://[^/?#]*)', 1) || coalesce(nullif(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '/+$', ''), ''), '/') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key FROM (SELECT *, list_transform(list_filter({_PARTS}, lambda p: NOT regexp_matches(p, '(?i)^(utm_[^=]*|fbclid|gclid|ref|source)(=|$)')), lambda p: {_EACH}) AS q FROM pages)) GROUP BY key")
+def ingest_url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select("page_id", ingest_url(F.col("url")).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id"))
+
+
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')) AS heading FROM pages")
 def page_title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", page_title(F.col("html")).alias("title"), page_heading(F.col("html")).alias("heading"))
 
 
-@query(r"SELECT host, count(*) AS pages, bool_or(regexp_matches(url, 'utm_')) AS tracked FROM (SELECT url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '') AS host FROM pages) WHERE host = 'example.com' OR host LIKE '%.example.com' OR host LIKE '%.example.org' GROUP BY host")
+_HOST = r"regexp_replace(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#]*@)?([^/?#:@]+)', 1)), '^www\.', '')"
+
+
+@query(rf"SELECT host, count(*) AS pages, bool_or(regexp_matches(url, 'utm_')) AS tracked FROM (SELECT url, {_HOST} AS host FROM pages) WHERE host IN ('example.com', 'example.org') OR host LIKE '%.example.com' OR host LIKE '%.example.org' GROUP BY host")
 def domain_suffix_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts that are a trusted domain or below one: each host's parent suffixes meet the domains by equality."""
-    trusted = spark.range(1).select(F.explode(F.array(F.lit("example.com"), F.lit("example.org"))).alias("suffix"))
+    """Hosts that are a trusted domain or below one."""
+    trusted = spark.range(1).select(F.explode(F.array(F.lit("example.com"), F.lit("example.org"))).alias("domain"))
     pages = _read(spark, sf_dir, "pages").select("url", host(F.col("url")).alias("host"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = pages.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).join(F.broadcast(trusted), "suffix").select("host").distinct()
-    return pages.join(hosts, "host", "left_semi").where("host != 'example.org'").groupBy("host").agg(F.count("*").alias("pages"), F.bool_or(F.col("url").contains("utm_")).alias("tracked"))
+    return validation.at_or_below(pages, "host", trusted).groupBy("host").agg(F.count("*").alias("pages"), F.bool_or(F.col("url").contains("utm_")).alias("tracked"))
+
+
+_VALIDATED = rf"""(SELECT page_id, list_filter([
+  CASE WHEN coalesce(trim({_TITLE}), '') = '' THEN 'Missing or invalid fields: title' END,
+  CASE WHEN d IS NULL OR d = '' THEN 'Invalid date: empty_or_invalid_type' WHEN NOT regexp_full_match(d, '\d{{4}}-\d{{2}}-\d{{2}}') OR try_cast(d AS DATE) IS NULL THEN 'Invalid date: invalid_format'
+    WHEN try_cast(d AS DATE) > DATE '2024-06-30' OR try_cast(d AS DATE) < DATE '2024-06-30' - 90 THEN 'Invalid date: date_out_of_range' END,
+  CASE WHEN url IS NOT NULL AND (NOT regexp_full_match(url, '(?i)https?://[^/?#@\s]+([/?#].*)?') OR regexp_matches(url, '[\s\x00-\x1f]')) THEN 'Invalid URL' END,
+  CASE WHEN NOT ({_HOST} = 'example.com' OR {_HOST} LIKE '%.example.com' OR {_HOST} LIKE '%.example.org') THEN 'Non-official source' END], lambda x: x IS NOT NULL) AS issues,
+  CASE WHEN coalesce({_TITLE}, '') = '' THEN 'title_mismatch' WHEN page_id % 5 = 0 THEN 'title_low_match' ELSE 'verified' END AS status
+  FROM (SELECT *, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '2024-13-01' ELSE CAST(CAST(DATE '2024-03-01' + CAST(page_id % 150 AS INT) AS DATE) AS VARCHAR) END AS d FROM pages))"""
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as items: a title, a date made from page_id (some null, some impossible), an address, a host of a trusted domain."""
+    pages = _read(spark, sf_dir, "pages").withColumns({"title": page_title(F.col("html")), "host": host(F.col("url"))})
+    day = F.date_add(F.lit("2024-03-01").cast("date"), (F.col("page_id") % 150).cast("int")).cast("string")
+    pages = pages.withColumn("date", F.when(F.col("page_id") % 11 != 0, F.when(F.col("page_id") % 7 == 0, "2024-13-01").otherwise(day)))
+    fields = validation.missing({"title": validation.filled(F.col("title"))})
+    bad_date = validation.date_problem(F.col("date"), F.lit("2024-06-30").cast("date"))
+    official = (F.col("host") == "example.com") | F.col("host").endswith(".example.com") | F.col("host").endswith(".example.org")
+    found = [F.when(F.size(fields) > 0, F.concat(F.lit("Missing or invalid fields: "), F.array_join(fields, ", "))), F.concat(F.lit("Invalid date: "), bad_date), validation.url_issue(F.col("url")), F.when(~official, "Non-official source")]
+    score = F.when(F.coalesce("title", F.lit("")) == "", 0.0).when(F.col("page_id") % 5 == 0, 0.1).otherwise(1.0)
+    return validation.issues(pages, found).withColumn("status", validation.title_status(score))
+
+
+@query(f"SELECT page_id, array_to_string(issues, '; ') AS issues, status FROM {_VALIDATED}")
+def validated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated(spark, sf_dir).select("page_id", F.array_join("issues", "; ").alias("issues"), "status")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (NOT r AND status = 'verified') AS verified, count(*) FILTER (NOT r AND status <> 'verified') AS needs_review, count(*) FILTER (r OR status <> 'verified') AS warnings, count(*) FILTER (r) AS removed, round_even(count(*) FILTER (NOT r AND status = 'verified') / count(*) * 100, 2) AS pass_rate FROM (SELECT *, len(issues) > 0 OR status = 'title_mismatch' AS r FROM {_VALIDATED})")
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.summary(_validated(spark, sf_dir))
+
+
+_NIGHTS = f"(SELECT event_type, day, n, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY day) AS rate FROM {_DAILY})"
+
+
+def _nights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each event type and day the number of events and their share of the day's."""
+    daily = _daily_events(spark, sf_dir)
+    whole = daily.groupBy("day").agg(F.sum("n").alias("all"))
+    return daily.join(whole, "day").select("event_type", "day", "n", (F.col("n").cast("double") / F.col("all")).alias("rate"))
+
+
+@query(f"SELECT event_type, {_R('median(rate)')} AS baseline, count(*) AS nights FROM (SELECT * FROM {_NIGHTS} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC) <= 7) GROUP BY event_type")
+def nightly_median_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.nightly_baseline(_nights(spark, sf_dir), "event_type", "day", "rate")
+
+
+@query(f"WITH m AS (SELECT event_type, median(rate) AS med, count(*) AS c FROM {_NIGHTS} GROUP BY event_type), l AS (SELECT event_type, max(rate) AS high, count(*) AS two FROM (SELECT * FROM {_NIGHTS} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC) <= 2) GROUP BY event_type), b AS (SELECT event_type, c >= 2 AND two = 2 AND high <= med - 0.002 AS low FROM m JOIN l USING (event_type)) SELECT event_type, low, low AND (SELECT count(*) FROM b WHERE NOT low) >= 2 AS isolated FROM b")
+def sustained_low_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = health.sustained_low(_nights(spark, sf_dir), "event_type", "day", "rate", "n", 0.002)
+    return health.isolated(low, "low", 2)
+
+
+@query("WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS ok FROM orders), l AS (SELECT o_custkey, max(o_orderkey) FILTER (ok) AS last FROM o GROUP BY o_custkey) SELECT o_custkey, count(*) FILTER ((last IS NULL OR o_orderkey > last) AND NOT ok) AS failures FROM o JOIN l USING (o_custkey) GROUP BY o_custkey")
+def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("ok"))
+    return health.failure_streak(runs, "o_custkey", "o_orderkey", "ok")
+
+
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'available' WHEN 'O' THEN 'missing' ELSE 'stale' END"
+
+
+@query(f"SELECT o_custkey, CASE WHEN bool_and(s = 'missing') THEN 'missing' WHEN bool_or(s NOT IN ('available', 'missing')) THEN 'invalid' WHEN bool_or(s = 'missing') THEN 'degraded' ELSE 'available' END AS health FROM (SELECT o_custkey, {_STATUS} AS s FROM orders) GROUP BY o_custkey")
+def group_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.group_health(_read(spark, sf_dir, "orders").select("o_custkey", F.expr(_STATUS).alias("s")), "o_custkey", "s")
+
+
+@query(f"SELECT k.s, coalesce(n, 0) AS n FROM (SELECT unnest(['available', 'missing', 'stale', 'blocked']) AS s) k LEFT JOIN (SELECT {_STATUS} AS s, count(*) AS n FROM orders GROUP BY 1) USING (s)")
+def status_counts_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.status_counts(_read(spark, sf_dir, "orders").select(F.expr(_STATUS).alias("s")), "s", ("available", "missing", "stale", "blocked"))
+
+
+@query("WITH g AS (SELECT l_suppkey, count(*) FILTER (l_linenumber = 1) AS a, count(*) FILTER (l_linenumber <= 2) AS b, count(*) FILTER (l_linenumber <= 3) AS c, least(2, count(*)) AS need FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, CASE WHEN a >= need THEN 'E1' WHEN b >= need THEN 'E2' WHEN c >= need THEN 'E3' ELSE 'E4' END AS grade FROM g")
+def evidence_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = _read(spark, sf_dir, "lineitem").select("l_suppkey", F.concat(F.lit("E"), F.least(F.col("l_linenumber"), F.lit(4)).cast("string")).alias("g"))
+    return health.evidence_grade(graded, "l_suppkey", "g")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 2 THEN 'insufficient' WHEN ma7 > ma30 AND ma30 > ma90 AND slope > 0 AND signal >= 0.7 AND breadth >= 0.5 AND dur >= 0.3 AND eff >= 5 THEN 'accelerating' WHEN ma7 >= 1.3 * ma30 AND slope > 0 AND (dur < 0.5 OR ma90 IS NULL) THEN 'emerging' WHEN ma7 < ma30 AND slope < 0 THEN 'declining' ELSE 'plateau' END AS stage, signal, breadth, dur AS durability FROM (SELECT *, CASE WHEN slope > 0 AND r2 >= 0.5 AND ma7 >= 1.3 * ma30 THEN 0.8 WHEN abs(slope) < 0.05 THEN 0.3 WHEN slope > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS signal, CASE WHEN eff >= 40 THEN 0.8 WHEN eff >= 15 THEN 0.5 WHEN eff >= 5 THEN 0.2 ELSE 0.0 END::DOUBLE AS breadth, CASE WHEN ma90 IS NULL OR ma90 = 0 OR occ < 200 THEN 0.0 WHEN ma30 / ma90 >= 0.9 AND occ >= 1000 THEN 0.8 WHEN ma30 / ma90 >= 0.7 THEN 0.5 WHEN ma30 / ma90 >= 0.5 THEN 0.3 ELSE 0.0 END::DOUBLE AS dur FROM (SELECT p_partkey, p_size, p_partkey % 13 + 0.5::DOUBLE AS ma7, p_partkey % 11 + 0.5::DOUBLE AS ma30, CASE WHEN p_partkey % 17 > 0 THEN p_partkey % 9 + 0.5::DOUBLE END AS ma90, (p_partkey % 7 - 3) / 10.0::DOUBLE AS slope, p_partkey % 10 / 10.0::DOUBLE AS r2, p_size::DOUBLE AS eff, p_partkey * 3 AS occ FROM part))")
+def stage_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule tables over measures made from the part keys."""
+    k = F.col("p_partkey")
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_size", (k % 13 + 0.5).alias("ma7"), (k % 11 + 0.5).alias("ma30"), F.when(k % 17 > 0, k % 9 + 0.5).alias("ma90"), ((k % 7 - 3) / 10.0).alias("slope"), (k % 10 / 10.0).alias("r2"), F.col("p_size").cast("double").alias("eff"), (k * 3).alias("occ"))
+    c = F.col
+    p = p.withColumns({"signal": rules.signal_strength(c("slope"), c("r2"), c("ma7"), c("ma30")), "breadth": rules.source_breadth(c("eff")), "durability": rules.durability(c("ma30"), c("ma90"), c("occ"))})
+    stage = rules.stage(c("p_size") > 2, c("ma7"), c("ma30"), c("ma90"), c("slope"), c("signal"), c("breadth"), c("durability"), c("eff"), F.lit("organic"))
+    return p.select("p_partkey", stage.alias("stage"), "signal", "breadth", "durability")
 
 
 @query("SELECT event_id, v, metric, m FROM (SELECT event_id, value AS v FROM events WHERE event_type = 'purchase') e JOIN (SELECT user_id AS metric, avg(value) AS m FROM events GROUP BY user_id) u ON abs(v - m) < 0.05")
