@@ -3,7 +3,7 @@
 Terms are words (A-Z folded) of at least MIN_CHARS characters. The lexicon keeps terms that occur in at least
 LOW and at most HIGH of all documents that have a term (and in two documents at least): a term's document
 frequency is LOW * documents or more, so there are at most (mean distinct terms of a document) / LOW terms,
-however large the corpus. It goes to the tasks as one array of short lists, found by a term's hash; a lexicon of more than
+however large the corpus. It goes to the tasks as one array of short texts, found by a term's hash; a lexicon of more than
 LEXICON terms, for which texts would have to be books, is refused. Each term belongs to some of SUBSETS random
 parts of the lexicon, by its MD5 sum: a quarter of the parts hold 1 of 4 terms, the next 1 of 16, then 1 of 64
 and 1 of 256. A fingerprint has for each part 8 hex digits of the MD5 sum of the document's sorted distinct terms
@@ -60,18 +60,22 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 
 
 def slots(words: DataFrame) -> tuple[Column, int]:
-    """The lexicon as a constant array of arrays of structs with t (term) and p (parts), and the number of its arrays; a term is in the one of its hash."""
+    """The lexicon as a constant array of texts, each a run of (tab, term, blank, parts as 8 hex digits), and the array's size; a term is in the text of its hash. Terms hold no white space."""
     n = max(1, words.count() // 2)
-    full = words.groupBy(F.pmod(F.xxhash64("term"), F.lit(n)).alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("term").alias("t"), F.col("parts").alias("p")))).alias("own"))
-    every = words.sparkSession.range(n).join(full, "id", "left").select("id", F.coalesce("own", F.array()).alias("own"))
-    row = every.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("id", "own"))), lambda x: x["own"])).alias("all")).first()
-    return F.from_json(F.lit(row["all"]), "array<array<struct<t:string,p:bigint>>>"), n
+    entry = F.concat(F.lit("\t"), "term", F.lit(" "), F.lpad(F.lower(F.conv("parts", 10, 16)), 8, "0"))
+    full = words.groupBy(F.pmod(F.xxhash64("term"), F.lit(n)).alias("id")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("own"))
+    every = words.sparkSession.range(n).join(full, "id", "left").select("id", F.coalesce("own", F.lit("")).alias("own"))
+    row = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "own"))), lambda x: x["own"]), "\n").alias("all")).first()
+    return F.split(F.lit(row["all"]), "\n"), n
 
 
 def printed(rows: DataFrame, table: tuple[Column, int], text: str, name: str) -> DataFrame:
     """rows with the column `name`: the fingerprint of their text."""
     lists, n = table
-    own = F.flatten(F.transform("_terms", lambda t: F.filter(F.element_at(lists, F.pmod(F.xxhash64(t), F.lit(n)).cast("int") + 1), lambda e: e["t"] == t)))
+    # What follows the term in the text of its slot: its parts, or, if it is not there, the whole text, which begins with a tab.
+    after = lambda t: F.call_function("substring_index", F.element_at(lists, F.pmod(F.xxhash64(t), F.lit(n)).cast("int") + 1), F.concat(F.lit("\t"), t, F.lit(" ")), F.lit(-1))
+    found = F.filter(F.transform("_terms", lambda t: F.struct(t.alias("t"), F.substring(after(t), 1, 8).alias("h"))), lambda x: (x["h"] != "") & ~x["h"].startswith("\t"))
+    own = F.transform(found, lambda x: F.struct(x["t"].alias("t"), F.conv(x["h"], 16, 10).cast("long").alias("p")))
     rows = rows.withColumn("_terms", terms(F.col(text))).withColumn("_own", F.sort_array(own))
     # Few terms are in the thinner parts, so these look at those only.
     for i in range(4):
