@@ -340,30 +340,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             shared = keep(own.join(heads.hint("merge"), "sig").select("sig", "id", "pivot", "m"))
         info = known.select(F.col("doc_id").alias("id"), "n", "bits").distinct()
 
-        def linked(pairs: DataFrame) -> DataFrame:
-            """The links a, b among the pairs."""
+        comp = None  # the components of links, until there are new ones
+
+        def link(pairs: DataFrame) -> None:
+            """Adds the links a, b among the pairs."""
+            nonlocal links, comp
             near = keep(possible(pairs, info, num, den))
+            if near.isEmpty():
+                return
             sets = keep(sets_of(docs, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), width))
-            return verified(near, sets, num, den)
+            found = keep(verified(near, sets, num, den))
+            if not found.isEmpty():
+                links, comp = keep(links.union(found)), None
+
+        def labels() -> DataFrame:
+            nonlocal comp
+            comp = components(links, scratch) if comp is None else comp
+            return comp
 
         def labelled(df: DataFrame) -> DataFrame:
             """sig, id, m and the component so far of each id."""
-            return df.select("sig", "id", "m").join(components(links, scratch), "id", "left").select("sig", "id", "m", F.coalesce("comp", "id").alias("comp"))
+            return df.select("sig", "id", "m").join(labels(), "id", "left").select("sig", "id", "m", F.coalesce("comp", "id").alias("comp"))
 
-        links = keep(links.union(linked(shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())))
+        link(shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
         # Entries of two are done. In the others a pivot has met all others and is left out from here on.
         rest = keep(labelled(shared.where("m > 2 and id != pivot")))
         pivots = rest.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("comp", "id").alias("of"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
         rest = keep(rest.join(pivots.select("sig", "pivot", "of"), "sig").where("id != pivot"))
-        links = keep(links.union(linked(rest.where("comp != of").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())))
-        rest = keep(labelled(rest))
-        cold, hot = rest.where(F.col("m") <= COLD), rest.where(F.col("m") > COLD)
-        left, right = (cold.select("sig", F.col("id").alias(k), F.col("comp").alias(f"comp{k}")) for k in "ab")
-        pairs = left.join(right, "sig").where("a < b and compa != compb").select("a", "b")
-        links = keep(links.union(linked(pairs.union(_blocked(hot, info, num, den, True)).distinct())))
-        links = keep(links.union(linked(_blocked(labelled(hot), info, num, den, False))))
-        comp = components(links, scratch).withColumnRenamed("id", "doc_id")
-        return kept(rows.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")))
+        if not rest.isEmpty():
+            link(rest.where("comp != of").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+            rest = keep(labelled(rest))
+            cold, hot = rest.where(F.col("m") <= COLD), rest.where(F.col("m") > COLD)
+            left, right = (cold.select("sig", F.col("id").alias(k), F.col("comp").alias(f"comp{k}")) for k in "ab")
+            pairs = left.join(right, "sig").where("a < b and compa != compb").select("a", "b")
+            link(pairs.union(_blocked(hot, info, num, den, True)).distinct())
+            if not hot.isEmpty():
+                link(_blocked(labelled(hot), info, num, den, False))
+        ids = labels().withColumnRenamed("id", "doc_id")
+        return kept(rows.join(ids, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
