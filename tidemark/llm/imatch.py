@@ -14,7 +14,7 @@ where either has terms; one of all terms is like (1) an equal one only.
 The next document is found by windows over ranges of 2 ** 12 ids, in the one shuffle that the texts go through; only the
 lowest document of a range looks into another. Null texts count as empty. Documents without doc_id come after all
 others; rows of one doc_id have the same next document, and of several texts with one doc_id the greatest is the one
-that the others see. An empty table gives an empty result.
+that the others see. An empty table gives an empty result. The session's plan descriptions are cut to 10,000 characters from here on.
 """
 
 from __future__ import annotations
@@ -116,6 +116,8 @@ def following(rows: DataFrame, levels: int = _LEVELS) -> DataFrame:
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each document."""
+    # The lexicon stands in the plan as a constant; plan descriptions, which the driver keeps and logs, need not repeat it.
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "10000")
     table = slots(lexicon(docs))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Rows without id need no neighbour, so they are spread over cells that no id has.
