@@ -25,7 +25,7 @@ def rows(names, values):
     return sorted(repr(tuple(plain(r[i]) for i in order)) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows(spark, duck, name):
     df, sql = QUERIES[name](spark, DIR), duck.sql(ORACLE[name])
     assert rows(df.columns, map(tuple, df.collect())) == rows(sql.columns, sql.fetchall())

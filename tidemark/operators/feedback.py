@@ -43,3 +43,37 @@ def canary(nightly: DataFrame, group: str, night: str, value: str, nights: int =
     drop = F.floor((F.col("b") - F.col("o")) * 1e6 + 0.5) / 1e4
     verdict = F.when(F.col("n") < nights + 1, "waiting").when(drop > drop_pp, "revert").otherwise("confirm")
     return own.select(group, half_up(F.col("b")).alias("baseline"), half_up(F.col("o")).alias("observed"), half_up(drop).alias("drop_pp"), verdict.alias("verdict"))
+
+
+def allocated(proposals: DataFrame, key: str, group: str, eligible: Column, order: list[Column], each: int, total: int) -> DataFrame:
+    """proposals with `outcome`: chosen, ineligible, group_cap or total_cap, as a loop in this order would give them.
+
+    Spark keeps at most `each` rows of a group in every partition before the shuffle, so the window is small; a group's last
+    chosen or refused row decides the outcome of the others. The order should end in something unique, the keys are.
+    """
+    fit = F.coalesce(eligible, F.lit(False))
+    head = proposals.where(fit).withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_r") <= each)
+    ranked = head.orderBy(*order).limit(total).select(key, F.lit("chosen").alias("_o"))
+    capped_out = head.select(key, F.lit("total_cap").alias("_t"))
+    own = proposals.join(F.broadcast(ranked), key, "left").join(capped_out, key, "left")
+    outcome = F.when(~fit, "ineligible").otherwise(F.coalesce("_o", "_t", F.lit("group_cap")))
+    return own.withColumn("outcome", outcome).drop("_o", "_t")
+
+
+def silence(today: str, nights: int, metrics: DataFrame, ledger: DataFrame, cursor: DataFrame) -> DataFrame:
+    """One row: state (yellow if neither ratings nor ledger entries came in the last nights, else green) and reasons.
+
+    metrics: date, ratings; ledger: date, of human ratings; cursor: one row or none with last_ts, the epoch where it never moved.
+    """
+    since = F.date_sub(F.lit(today).cast("date"), nights - 1)
+    near = lambda t: t.where(F.col("date").cast("date").between(since, F.lit(today).cast("date")))
+    own = near(metrics).agg(F.count("*").alias("_rows"), F.coalesce(F.sum("ratings"), F.lit(0)).alias("ratings"), F.count_distinct("date").alias("nights_observed"))
+    own = own.crossJoin(near(ledger).agg(F.count("*").alias("ledger_rows"))).crossJoin(cursor.agg(F.max(F.struct("last_ts")).alias("_c")))
+    epoch = F.lit("1970-01-01").cast("timestamp")
+    reasons = F.array_compact(F.array(
+        F.when(F.col("_rows") == 0, "metrics_missing").when(F.col("ratings") == 0, "metrics_zero"),
+        F.when(F.col("ledger_rows") == 0, "ledger_zero"),
+        F.when(F.col("_c").isNull(), "cursor_missing").when(~(F.coalesce(F.col("_c.last_ts").cast("timestamp"), epoch) > epoch), "cursor_epoch"),
+    ))
+    state = F.when((F.col("ratings") == 0) & (F.col("ledger_rows") == 0), "yellow").otherwise("green")
+    return own.select(state.alias("state"), reasons.alias("reasons"), "ratings", "ledger_rows", "nights_observed")

@@ -54,3 +54,22 @@ def monthly_rank(rows: DataFrame, group: str, day: str, value: str) -> DataFrame
     sums = rows.groupBy(group, F.date_trunc("month", day).cast("date").alias("month")).agg(F.sum(value).alias("total"))
     ranked = sums.withColumn("rank", F.row_number().over(W.partitionBy("month").orderBy(F.desc("total"), group)))
     return ranked.withColumn("moved", F.lag("rank").over(W.partitionBy(group).orderBy("month")) - F.col("rank"))
+
+
+def relative(counts: DataFrame, group: str, value: str, short: int = 30, long: int = 90) -> DataFrame:
+    """A group's short mean over its long one (over days with rows, up to the last day of all), against the same of all groups together, less 1; null where a mean is 0 or missing."""
+    last = counts.agg(F.max("day").alias("_last"))
+    daily = counts.groupBy("day").agg(F.sum(value).alias(value))
+
+    def ratio(rows: DataFrame, *by: str) -> DataFrame:
+        near = rows.crossJoin(F.broadcast(last)).where(F.col("day") > F.date_sub("_last", long))
+        return near.groupBy(*by).agg((F.avg(F.when(F.col("day") > F.date_sub("_last", short), F.col(value))) / F.nullif(F.avg(value), F.lit(0.0))).alias("ratio"))
+
+    whole = ratio(daily).select(F.nullif("ratio", F.lit(0.0)).alias("_all"))
+    return ratio(counts, group).crossJoin(F.broadcast(whole)).select(group, half_up(F.col("ratio")).alias("ratio"), half_up(F.col("ratio") / F.col("_all") - 1).alias("relative"))
+
+
+def month_change(ranked: DataFrame, group: str) -> DataFrame:
+    """Rank in the first and the last month of each group (columns month and rank) and the places won between them."""
+    own = ranked.groupBy(group).agg(F.min_by("rank", "month").alias("first_rank"), F.max_by("rank", "month").alias("last_rank"))
+    return own.withColumn("won", F.col("first_rank") - F.col("last_rank"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import half_up
+from tidemark.operators.rules import financial_relevance, weighted
 
 #: topic -> terms
 Lexicon = dict[str, tuple[str, ...]]
@@ -67,3 +68,29 @@ def pairs(rows: DataFrame, item: str, terms: Column, least: int) -> DataFrame:
     own = rows.select(item, terms.alias("t"))
     pair = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return own.select(item, F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count_distinct(item).alias("items")).where(F.col("items") >= least)
+
+
+#: The weights of a topic's score, and what counts as full.
+WEIGHTS = (("relevance", 0.20), ("recency", 0.20), ("novelty", 0.15), ("financial_relevance", 0.20), ("evidence_quality", 0.15), ("topic_weight", 0.10))
+
+
+def scored(hits: DataFrame, item: str, day: str, fresh: Column, financial: Column, quality: Column, days: DataFrame, full: int, base: float = 0.3) -> DataFrame:
+    """The parts of each topic's score (each rounded to 3 places) and their weighted sum.
+
+    fresh, financial and quality are conditions on a hit; days: one row with n_days; full: hits from which relevance is 1.
+    Distinct items are counted over a grouping by (topic, item), so that hot topics are summed before they meet.
+    """
+    own = hits.groupBy("topic", item).agg(F.count("*").alias("_n"), F.collect_set(day).alias("_days"), F.bool_or(fresh).alias("_fresh"), F.count_if(financial).alias("_f"), F.count_if(quality).alias("_q"))
+    sums = own.groupBy("topic").agg(F.sum("_n").alias("total"), F.count("*").alias("items"), F.count_if("_fresh").alias("_fresh"), F.sum("_f").alias("_f"), F.sum("_q").alias("_q"))
+    active = own.select("topic", F.explode("_days").alias("_d")).groupBy("topic").agg(F.count_distinct("_d").alias("_active"))
+    rate = lambda a, b: F.col(a).cast("double") / F.col(b)
+    parts = {
+        "relevance": F.least(F.lit(1.0), F.col("total") / F.lit(float(full))),
+        "recency": F.col("_active").cast("double") / F.greatest(F.lit(1), "n_days"),
+        "novelty": rate("_fresh", "items"),
+        "financial_relevance": financial_relevance(F.lit(base), rate("_f", "total")),
+        "evidence_quality": rate("_q", "total"),
+        "topic_weight": F.lit(1.0),
+    }
+    wide = sums.join(active, "topic").crossJoin(F.broadcast(days)).select("topic", "total", "items", *(half_up(c, 3).alias(k) for k, c in parts.items()))
+    return wide.withColumn("score", weighted([(F.col(k), w) for k, w in WEIGHTS]))

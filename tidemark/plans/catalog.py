@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import half_up, host, ingest_url, norm_title, page_heading, page_title, tokens, topic_url, word_overlap
-from tidemark.operators import feedback, health, merge, rules, series, topics, validation
+from tidemark.operators import dynamic, feedback, health, merge, rules, series, topics, validation
+from tidemark.streaming import feedback as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -340,3 +341,111 @@ def category_metrics_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("items"), F.count_if(F.col("value") > 50).alias("high"))
     rate = F.coalesce(half_up(F.col("high").cast("double") / F.col("items")), F.lit(0.0))
     return kinds.join(own, "event_type", "left").select("event_type", F.coalesce("items", F.lit(0)).alias("items"), rate.alias("high_rate"))
+
+
+@query(f"WITH l AS (SELECT max(day) AS last FROM {_DAILY}), g AS (SELECT event_type, avg(n) FILTER (day > last - 7) / nullif(avg(n), 0) AS r FROM {_DAILY}, l WHERE day > last - 30 GROUP BY 1), c AS (SELECT avg(n) FILTER (day > last - 7) / avg(n) AS a FROM (SELECT day, sum(n) AS n FROM {_DAILY} GROUP BY 1), l WHERE day > last - 30) SELECT event_type, {_R('r')} AS ratio, {_R('r / a - 1')} AS relative FROM g, c")
+def relative_to_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven days over thirty, as the events span thirty days."""
+    return series.relative(_daily_events(spark, sf_dir), "event_type", "n", 7, 30)
+
+
+_SCORED = f"""WITH i AS (SELECT topic, item, count(*) AS n, bool_or(day > DATE '2024-01-20') AS fresh, count(*) FILTER (contains(lower(text), 'price')) AS f, count(*) FILTER (source LIKE '%1') AS q FROM {_HITS} GROUP BY ALL),
+s AS (SELECT topic, sum(n) AS total, count(*) AS items, count(*) FILTER (fresh) AS fresh, sum(f) AS f, sum(q) AS q FROM i GROUP BY topic),
+a AS (SELECT topic, count(DISTINCT day) AS active FROM {_HITS} GROUP BY topic), d AS (SELECT count(DISTINCT day) AS days FROM {_ITEMS}),
+p AS (SELECT topic, CAST(total AS BIGINT) AS total, items, {_R('least(1.0::DOUBLE, CAST(total AS DOUBLE) / 100)', 3)} AS relevance, {_R('CAST(active AS DOUBLE) / days', 3)} AS recency, {_R('CAST(fresh AS DOUBLE) / items', 3)} AS novelty,
+  {_R('0.7::DOUBLE * 0.3::DOUBLE + 0.3::DOUBLE * least(1.0::DOUBLE, (CAST(f AS DOUBLE) / total) / 0.25::DOUBLE)', 3)} AS financial_relevance, {_R('CAST(q AS DOUBLE) / total', 3)} AS evidence_quality, 1.0::DOUBLE AS topic_weight FROM s JOIN a USING (topic), d)
+SELECT *, {_R('relevance * 0.2::DOUBLE + recency * 0.2::DOUBLE + novelty * 0.15::DOUBLE + financial_relevance * 0.2::DOUBLE + evidence_quality * 0.15::DOUBLE + topic_weight * 0.1::DOUBLE', 3)} AS score FROM p"""
+
+
+@query(_SCORED)
+def weighted_topic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    hits = topics.matched(items, "text", LEXICON)
+    days = items.agg(F.count_distinct("day").alias("n_days"))
+    return topics.scored(hits, "item", "day", F.col("day") > F.lit("2024-01-20").cast("date"), F.contains(F.lower("text"), F.lit("price")), F.col("source").endswith("1"), days, 100)
+
+
+@query("WITH r AS (SELECT *, value > 50 AS fit FROM events), g AS (SELECT * FROM r WHERE fit QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 3), t AS (SELECT event_id FROM g ORDER BY value DESC, event_id LIMIT 10) SELECT event_id, event_type, CASE WHEN NOT coalesce(fit, false) THEN 'ineligible' WHEN event_id IN (FROM t) THEN 'chosen' WHEN event_id IN (SELECT event_id FROM g) THEN 'total_cap' ELSE 'group_cap' END AS outcome FROM r")
+def quota_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    return feedback.allocated(e, "event_id", "event_type", F.col("value") > 50, [F.desc("value"), F.col("event_id")], 3, 10).select("event_id", "event_type", "outcome")
+
+
+_NORM = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_H1 = "regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT page_id, {_NORM(_TITLE)} AS a, {_NORM(_H1)} AS b FROM pages), w AS (SELECT *, list_filter(list_distinct(string_split(a, ' ')), lambda x: x <> '') AS x, list_filter(list_distinct(string_split(b, ' ')), lambda x: x <> '') AS y FROM t)
+SELECT page_id, {_R("CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE greatest(CASE WHEN contains(a, b) OR contains(b, a) THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END, CAST(len(list_intersect(x, y)) AS DOUBLE) / greatest(len(x), len(y))) END")} AS score FROM w""")
+def title_overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of each page against its heading."""
+    return _read(spark, sf_dir, "pages").select("page_id", half_up(word_overlap(page_title(F.col("html")), page_heading(F.col("html")))).alias("score"))
+
+
+@query("""WITH o AS (SELECT *, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, CAST(o_custkey AS VARCHAR) || lower(o_orderpriority) AS k FROM orders),
+w AS (SELECT * FROM o WHERE date BETWEEN '1995-01-01' AND '1995-12-31'),
+c AS (SELECT * FROM w WHERE o_orderkey % 2 = 1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey) = 1),
+h AS (SELECT * FROM w WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY o_orderkey) = 1)
+SELECT coalesce(c.o_orderkey, h.o_orderkey) AS o_orderkey, coalesce(c.date, h.date) AS date, CASE WHEN c.o_orderkey % 3 = 0 THEN h.o_totalprice WHEN c.k IS NOT NULL THEN c.o_totalprice ELSE h.o_totalprice END AS o_totalprice,
+  c.k IS NOT NULL AND h.k IS NULL AS is_new, coalesce(CASE WHEN h.o_orderkey % 5 > 0 THEN h.date END, '1996-01-01') AS first_seen, CASE WHEN c.k IS NOT NULL OR h.o_orderkey % 5 = 0 THEN '1996-01-01' ELSE h.date END AS last_seen
+FROM c FULL JOIN h ON c.k = h.k ORDER BY 2 DESC, c.k IS NULL, 1 LIMIT 200""")
+def history_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd orders as fetched items, even ones as the history; some fetched prices are missing and come from there."""
+    odd = F.col("o_orderkey") % 2 == 1
+    seen = F.when(~odd & (F.col("o_orderkey") % 5 > 0), F.to_date("o_orderdate").cast("string"))
+    price = F.when(~(odd & (F.col("o_orderkey") % 3 == 0)), F.col("o_totalprice"))
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("seq"), "o_custkey", "o_orderpriority", F.to_date("o_orderdate").cast("string").alias("date"), price.alias("o_totalprice"), seen.alias("first_seen"), seen.alias("last_seen"))
+    key = merge.item_key(F.lit(""), F.col("o_custkey"), F.col("o_orderpriority"))
+    rows = merge.with_history(o.where("seq % 2 = 1"), o.where("seq % 2 = 0"), key, "date", "1995-01-01", "1995-12-31", "1996-01-01", 200)
+    return rows.select("o_orderkey", "date", "o_totalprice", "is_new", "first_seen", "last_seen")
+
+
+@query("WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 3 > 0) SELECT o_orderkey, f.l_orderkey IS NOT NULL AS answered, coalesce(f.l_quantity, 0.0)::DOUBLE AS l_quantity FROM orders LEFT JOIN (FROM a QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) = 1) f ON o_orderkey = l_orderkey")
+def answers_to_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with its first line as the answer, some orders without any."""
+    lines = _read(spark, sf_dir, "lineitem").where("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_quantity").alias("order"), F.col("l_quantity").cast("double").alias("l_quantity"))
+    return merge.answered(_read(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", "order", {"l_quantity": 0.0})
+
+
+def _page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 14).cast("int"))
+    return _read(spark, sf_dir, "pages").select(F.col("page_id").alias("item"), day.alias("day"), host(F.col("url")).alias("host"), tokens(page_title(F.col("html"))).alias("terms"))
+
+
+@query(f"""WITH i AS (SELECT page_id, CAST(DATE '2024-01-01' + CAST(page_id % 14 AS INT) AS DATE) AS day, {_HOST} AS host, list_sort(list_distinct(regexp_extract_all(lower({_TITLE}), '[a-z0-9]{{3,}}')))[:36] AS t FROM pages),
+u AS (SELECT page_id, day, host, unnest(t) AS w FROM i), p AS (SELECT x.w AS a, y.w AS b, x.day, x.host, x.day >= DATE '2024-01-08' AS now FROM u x JOIN u y USING (page_id) WHERE x.w < y.w),
+g AS (SELECT a, b, count(*) FILTER (now) AS recent, count(*) FILTER (NOT now) AS previous, count(DISTINCT host) FILTER (now) AS sources, max(day) AS latest, bool_or(day >= DATE '2024-01-13') AS fresh FROM p GROUP BY a, b HAVING count(*) >= 2),
+k AS (SELECT count(DISTINCT day) = 14 AS whole FROM i)
+SELECT a, b, recent, previous, sources, latest, CASE WHEN NOT whole THEN 'focus' WHEN previous = 0 THEN 'new' WHEN recent < previous THEN 'declining' ELSE 'persistent' END AS status, CAST(recent + 1.5 * sources + CASE WHEN fresh THEN 2 ELSE 0 END AS DOUBLE) AS score FROM g, k""")
+def dynamic_topic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _page_items(spark, sf_dir)
+    return dynamic.candidates(items, items, "2024-01-14")
+
+
+@query()
+def dynamic_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A choice in rounds, which SQL can't express."""
+    items = _page_items(spark, sf_dir)
+    return dynamic.selected(dynamic.candidates(items, items, "2024-01-14"), items, "2024-01-14")
+
+
+@query("WITH m AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS total FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY total DESC, o_custkey) AS rank FROM m) SELECT o_custkey, CAST(arg_min(rank, month) AS INT) AS first_rank, CAST(arg_max(rank, month) AS INT) AS last_rank, CAST(arg_min(rank, month) - arg_max(rank, month) AS INT) AS won FROM r GROUP BY o_custkey")
+def rank_first_to_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.month_change(series.monthly_rank(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_totalprice"), "o_custkey")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = _read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a stream reads folders or patterns
+
+
+@query(_DAILY[1:-1])
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming form; the SQL is that of the batch."""
+    return streams.completed(streams.daily_counts(_event_stream(spark, sf_dir), "ts", "event_type"), streams.own_folder(spark))
+
+
+@query("SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
+def stream_latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _event_stream(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value")
+    return streams.completed(streams.latest(e, "user_id", "ts", "event_id"), streams.own_folder(spark))
