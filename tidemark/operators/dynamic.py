@@ -62,7 +62,8 @@ def selected(found: DataFrame, items: DataFrame, end: str, limit: int = 6, overl
         both = members.join(mine, "item", "left").groupBy("a", "b").agg(F.count("*").alias("_n"), F.count("_in").alias("_k"))
         both = both.crossJoin(F.broadcast(mine.agg(F.count("*").alias("_m"))))
         out = both.where(F.col("_k").cast("double") / F.least("_n", "_m") >= overlap).select("a", "b")
-        rest = rest.join(out, ["a", "b"], "left_anti")
+        rest = rest.join(out, ["a", "b"], "left_anti").persist()
+        kept.append(rest)
     for t in kept:
         t.unpersist()
     ranks = found.sparkSession.createDataFrame([(a, b, i + 1) for i, (a, b) in enumerate(chosen)], "a string, b string, rank int")
