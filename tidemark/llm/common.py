@@ -85,6 +85,17 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Tables for crc32_sql in DuckDB's SQL, after WITH RECURSIVE; a query that uses it has crc_table in its FROM.
+CRC_TABLE = """crc_bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS v FROM crc_bits WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a text in DuckDB's SQL."""
+    each = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(4294967295, list_reduce({each}, lambda c, x: xor(c >> 8, v[(xor(c, x) & 255) + 1]), 4294967295::BIGINT))"
+
+
 def sampled(df: DataFrame, n: int, *cols: str) -> DataFrame:
     """The n rows of smallest doc_id hash, the same on each run."""
     return df.where("doc_id is not null").select("doc_id", *cols).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)

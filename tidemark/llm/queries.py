@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, flac, imatch, jaccard, language, licences, mixing, pii, quality, toxicity
+from tidemark.llm import bpe, flac, imatch, importance, jaccard, language, licences, manifest, mixing, pii, quality, risk, toxicity
 from tidemark.llm.common import documents, table
 
 #: The rank file and the pattern that op8 and the pipeline encode by.
@@ -55,9 +55,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.result(documents(spark, sf_dir))
 
 
+def op11_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_imatch, op2_ngram_jaccard, op3_licences, op4_flac, op5_language, op6_toxicity, op7_pii, op8_byte_bpe, op9_quality, op10_mixing)}
+    own = (op1_imatch, op2_ngram_jaccard, op3_licences, op4_flac, op5_language, op6_toxicity, op7_pii, op8_byte_bpe, op9_quality, op10_mixing, op11_risk_rules, op12_merkle, op13_importance)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_imatch": imatch.SQL}
+    return {"op1_imatch": imatch.SQL, "op11_risk_rules": risk.SQL, "op12_merkle": manifest.SQL, "op13_importance": importance.SQL}
