@@ -199,7 +199,7 @@ def population(n, seed):
     rng, rows, labels = random.Random(seed), [], []
     for i in range(n):
         lang, bad = rng.choice(["en", "en", "de", None]), rng.random() < 0.15
-        share = rng.uniform(0.5, 0.9) if bad else rng.betavariate(1, 30 if lang == "en" else 6)
+        share = rng.uniform(0.5, 0.9) if bad else rng.betavariate(1, 40 if lang == "en" else 14)
         words = [f"{'######' if rng.random() < share else 'w'}{rng.randrange(10**6)}" for _ in range(40)]
         rows.append((i, " ".join(words), lang, None, None))
         labels.append((i, 0 if bad else 1))
