@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from tidemark.plans.catalog import QUERIES
+from tidemark.plans.registry import QUERIES
 from tidemark.session import session
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans.catalog import ORACLE, QUERIES
+from tidemark.plans.registry import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
