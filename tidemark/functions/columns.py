@@ -32,6 +32,19 @@ def tokens(x: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.array_sort(F.array_distinct(F.array_except(words, F.array(*map(F.lit, stop))) if stop else words))
 
 
+# Words that say nothing about a title.
+STOP = tuple("the and for with from that this are you your how why what new into its has have not but can will about more than after over out".split())
+
+
+def title_tokens(x: Column, stop: tuple[str, ...] = STOP) -> Column:
+    """Distinct tokens of a title, sorted: ASCII words of three characters or more (with . + - within) that aren't stop words, and pairs of neighbouring CJK characters."""
+    low = F.lower(F.coalesce(x, F.lit("")))
+    words = F.filter(F.regexp_extract_all(low, F.lit(r"([a-z0-9][a-z0-9.+\-]*[a-z0-9]|[a-z0-9]{3,})"), 1), lambda w: F.length(w) >= 3)
+    runs = F.regexp_extract_all(low, F.lit("([\u3400-\u9fff]{2,})"), 1)
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2)))))
+    return F.array_sort(F.array_distinct(F.concat(F.array_except(words, F.array(*map(F.lit, stop))), pairs)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeated elements; 0 for two empty ones."""
     union = F.size(F.array_union(a, b))

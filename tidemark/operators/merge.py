@@ -42,15 +42,6 @@ def filled_up(current: DataFrame, older: DataFrame, group: str, key: str, order:
     return current.withColumn("is_backfill", F.lit(False)).unionByName(rest.select(*current.columns).withColumn("is_backfill", F.lit(True)))
 
 
-def novelty(items: DataFrame, item: str, older: DataFrame, old: str) -> DataFrame:
-    """1 less the best Jaccard likeness of an item's tokens (array `tokens`) to any older item's, by shared tokens only; 0 without tokens."""
-    a = items.select(item, F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
-    b = older.select(F.col(old).alias("_old"), F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
-    shared = a.join(b, "t").groupBy(item, "_old", "na", "nb").agg(F.count("*").alias("k"))
-    best = shared.groupBy(item).agg(F.max(F.col("k").cast("double") / (F.col("na") + F.col("nb") - F.col("k"))).alias("j"))
-    return items.join(best, item, "left").select(item, F.when(F.size("tokens") == 0, 0.0).otherwise(1 - F.coalesce("j", F.lit(0.0))).alias("n"))
-
-
 def band_pairs(numbers: DataFrame, metrics: DataFrame, width: float) -> DataFrame:
     """Rows of numbers (id, v) and metrics (metric, m) with |v - m| < width: an equality join on cells of that width and their neighbours."""
     cell = lambda c: F.floor(F.col(c) / width)

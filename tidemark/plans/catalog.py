@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import half_up, host, ingest_url, norm_title, page_heading, page_title, tokens, topic_url, word_overlap
-from tidemark.operators import dynamic, feedback, health, merge, rules, series, topics, validation
+from tidemark.operators import dynamic, feedback, health, likeness, merge, rules, series, topics, validation
 from tidemark.streaming import feedback as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,7 +181,7 @@ def title_jaccard_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole titles of pages against whole texts of the older corpus."""
     a = _read(spark, sf_dir, "pages").select("page_id", tokens(page_title(F.col("html"))).alias("tokens"))
     b = _read(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("tokens"))
-    return merge.novelty(a, "page_id", b, "item_id").select("page_id", half_up(F.col("n")).alias("novelty"))
+    return likeness.novelty(a, "page_id", b, "item_id").select("page_id", half_up(F.col("n")).alias("novelty"))
 
 
 @query(f"WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS t FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS t FROM benchmark), x AS (SELECT doc_id, len(d.t) AS na, unnest(d.t) AS w FROM d), y AS (SELECT item_id, len(b.t) AS nb, unnest(b.t) AS w FROM b), j AS (SELECT doc_id, max(j) AS j FROM (SELECT doc_id, CAST(count(*) AS DOUBLE) / (na + nb - count(*)) AS j FROM x JOIN y USING (w) GROUP BY doc_id, item_id, na, nb) GROUP BY doc_id) SELECT doc_id, {_R('CASE WHEN len(t) = 0 THEN 0.0::DOUBLE ELSE 1 - coalesce(j, 0.0::DOUBLE) END')} AS novelty FROM d LEFT JOIN j USING (doc_id)")
@@ -189,7 +189,7 @@ def document_jaccard_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents against whole texts of the older corpus."""
     a = _read(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
     b = _read(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("tokens"))
-    return merge.novelty(a, "doc_id", b, "item_id").select("doc_id", half_up(F.col("n")).alias("novelty"))
+    return likeness.novelty(a, "doc_id", b, "item_id").select("doc_id", half_up(F.col("n")).alias("novelty"))
 
 
 _PLAIN = r"""(?i)https?://[^/?#@\s<>"'\\]+([/?#][^\s<>"']*)?""".replace("'", "''")
