@@ -11,28 +11,23 @@ verified on the sets, and with the first pass's bound give the exact maximum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import half_up
 from tidemark.tables import Steps
 
-RAREST, SHORTEST = 6, 4
+RAREST, SHORTEST = 5, 3
 LEVELS = (0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.22, 0.16, 0.12, 0.09, 0.06, 0.04, 0.02, 0.0)
 #: Least numbers of tokens that an item's size alone asks for.
 SIZES = (0, 1, 2, 3, 4, 6, 8, 11, 16, 22, 32, 45, 64, 128, 256, 1024)
 
 
-def _ordered(rows: DataFrame, id_: str, counts: DataFrame) -> DataFrame:
-    """id, n and the tokens as structs (df, t) in order."""
-    own = rows.select(F.col(id_).alias("id"), F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(counts, "t", "left")
-    return own.groupBy("id").agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("ts"))
-
-
-def _overlap(a: Column, b: Column) -> Column:
-    same = F.size(F.array_intersect(a, b))
-    return same.cast("double") / (F.size(a) + F.size(b) - same)
+def _numbered(rows: DataFrame, id_: str, numbers: DataFrame) -> DataFrame:
+    """id, n (all tokens) and ks: the numbers of those that the older corpus has, in order."""
+    own = rows.select(F.col(id_).alias("id"), F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(numbers, "t")
+    return own.groupBy("id", "n").agg(F.sort_array(F.collect_list("k")).alias("ks"))
 
 
 def best_likeness(items: DataFrame, item: str, older: DataFrame, old: str, steps: Steps) -> DataFrame:
@@ -41,16 +36,19 @@ def best_likeness(items: DataFrame, item: str, older: DataFrame, old: str, steps
     Ids are distinct. Null and empty arrays share nothing.
     """
     olds = older.where("size(tokens) > 0").groupBy(F.sort_array("tokens").alias("tokens")).agg(F.min(old).alias(old))  # equal sets are one
-    counts = steps.keep(olds.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df")))
-    a = steps.keep(_ordered(items.where("size(tokens) > 0"), item, counts))
-    b = steps.keep(_ordered(olds, old, counts))
-    at = a.select("id", "n", F.posexplode("ts").alias("p", "x")).where("x.df > 0").select("id", "n", (F.col("p") + 1).alias("p"), F.col("x.t").alias("t"))
-    bt = b.select(F.col("id").alias("old"), F.col("n").alias("m"), F.posexplode("ts").alias("q", "x")).select("old", "m", (F.col("q") + 1).alias("q"), F.col("x.t").alias("t"))
+    counts = olds.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    # Written in order, so the numbers ascend with it; from here on a token is its number.
+    numbers = steps.keep(counts.orderBy("df", "t").select("t", F.monotonically_increasing_id().alias("k")))
+    a = steps.keep(_numbered(items.where("size(tokens) > 0"), item, numbers))
+    b = steps.keep(_numbered(olds, old, numbers))
+    # Tokens that no older set has come first of all.
+    at = a.select("id", "n", F.posexplode("ks").alias("p", "t"), "ks").select("id", "n", (F.col("p") + 1 + F.col("n") - F.size("ks")).alias("p"), "t")
+    bt = b.select(F.col("id").alias("old"), F.col("n").alias("m"), F.posexplode("ks").alias("q", "t")).select("old", "m", (F.col("q") + 1).alias("q"), "t")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sets = lambda d, id_, name: d.select(F.col("id").alias(id_), F.transform("ts", lambda x: x["t"]).alias(name))
-        both = pairs.join(sets(b, "old", "tb"), "old").join(sets(a, "id", "ta"), "id")
-        return both.groupBy("id").agg(F.max(_overlap(F.col("ta"), F.col("tb"))).alias("best"))
+        both = pairs.join(b.select(F.col("id").alias("old"), F.col("n").alias("m"), F.col("ks").alias("other")), "old").join(a.select("id", "n", "ks"), "id")
+        same = F.size(F.array_intersect("ks", "other"))
+        return both.groupBy("id").agg(F.max(same.cast("double") / (F.col("n") + F.col("m") - same)).alias("best"))
 
     # Bounds: the literal limits let Spark drop rows in every partition before it ranks them.
     few = at.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("p"))).where(F.col("r") <= RAREST).select("id", "t")
@@ -65,9 +63,9 @@ def best_likeness(items: DataFrame, item: str, older: DataFrame, old: str, steps
     # c and what the older set's own size asks for; a little less than the sum, so that rounding loses nothing.
     share = F.col("low") / (1 + F.col("low"))
     least = F.greatest(F.lit(1), F.ceil(F.col("c") + share * F.col("m") - 1e-9))
-    sizes = b.select(F.col("id").alias("old"), F.col("n").alias("m"), "ts").crossJoin(classes).withColumn("k", least).where("k <= m")
-    index = sizes.select("low", "c", "old", "m", F.posexplode(F.slice("ts", F.lit(1), F.col("m") - F.col("k").cast("int") + 1)).alias("q", "x"))
-    index = index.select("low", "c", "old", "m", (F.col("q") + 1).alias("q"), F.col("x.t").alias("t"))
+    sizes = b.select(F.col("id").alias("old"), F.col("n").alias("m"), "ks").crossJoin(classes).withColumn("k", least).where("k <= m")
+    index = sizes.select("low", "c", "old", "m", F.posexplode(F.slice("ks", F.lit(1), F.col("m") - F.col("k").cast("int") + 1)).alias("q", "t"))
+    index = index.withColumn("q", F.col("q") + 1)
     own = at.join(classed.select("id", "low", "c", "best"), "id")
     both = own.join(index, ["low", "c", "t"])
     # The pair's own number of shared tokens: to beat the bound, not to reach it.
