@@ -97,8 +97,14 @@ def crc32_sql(text: str) -> str:
 
 
 def sampled(df: DataFrame, n: int, *cols: str) -> DataFrame:
-    """The n rows of smallest doc_id hash, the same on each run."""
-    return df.where("doc_id is not null").select("doc_id", *cols).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    """The n ids of smallest hash, the same on each run, with the least of each column; a repeated doc_id counts once, a null one not."""
+    ids = df.where("doc_id is not null").groupBy("doc_id").agg(*(F.min(c).alias(c) for c in cols)) if cols else df.where("doc_id is not null").select("doc_id").distinct()
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen (distinct rows with a doc_id, few enough to send to every task), each with the least text that docs has of its doc_id; so there are no more rows than chosen has, however often an id is repeated."""
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(*chosen.columns).agg(F.min("text").alias("text"))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

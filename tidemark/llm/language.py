@@ -43,12 +43,13 @@ def grams(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of each hashed trigram in each."""
+    """Languages and the log probability of each hashed trigram in each, from LANG_ROWS texts of each at most; of a repeated doc_id the least text."""
     known = docs.where("lang is not null")
     # Up to 1,000 rows a group, Spark drops the others in each partition before the shuffle.
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= LANG_ROWS).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")), "left_semi").collect()
+    chosen = known.select("doc_id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= LANG_ROWS).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
+    same = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")), "left_semi")
+    rows = same.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     langs = sorted({r.lang for r in rows})
     counts = np.full((len(langs), 1 << BITS), 0.1)
     for r in rows:

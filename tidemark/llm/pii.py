@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, sampled, texts
+from tidemark.llm.common import pieces, sampled, texts, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, TOLERANCE, TRAIN_DOCS = 40, 1e-6, 3000
@@ -215,8 +215,8 @@ def train(many: list[str]) -> Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """From the documents of smallest doc_id hash, TRAIN_DOCS at most."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(sampled(docs, TRAIN_DOCS)), "doc_id").collect()
+    """From the documents of smallest doc_id hash, TRAIN_DOCS at most; of a repeated doc_id the least text."""
+    rows = texts_of(docs, sampled(docs, TRAIN_DOCS)).collect()
     return train([r.text or "" for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))])
 
 

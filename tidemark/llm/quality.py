@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_of, pieces, sampled, utf8
+from tidemark.llm.common import bucket_of, pieces, sampled, texts_of, utf8
 
 WIDTH, STEP, FILTERS = 4, 128, 16
 TRAIN_ROWS, EPOCHS = 4000, 12
@@ -130,9 +130,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality") -> Network:
-    """A network from at most TRAIN_ROWS labelled documents for which `learnable` (of doc_id) holds."""
+    """A network from at most TRAIN_ROWS labelled documents for which `learnable` (of doc_id) holds; of a repeated doc_id the least text and label."""
     chosen = sampled(labels.where(learnable & F.col(label).isNotNull()), TRAIN_ROWS, label)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", label, "text").collect()
+    rows = texts_of(docs, chosen).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or "", r[label]))
     return train([(r.text or "").encode() for r in rows], np.array([r[label] for r in rows], np.float64))
 

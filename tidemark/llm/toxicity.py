@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Hasher, bucket_of, pieces, sampled, utf8, words
+from tidemark.llm.common import Hasher, bucket_of, pieces, sampled, texts_of, utf8, words
 
 BITS = 20
 BEGINNINGS = (4, 6, 8)
@@ -97,13 +97,13 @@ def train(positives: list[bytes], unlabelled: list[bytes], prior: float) -> tupl
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column) -> tuple[np.ndarray, float]:
-    """From labels.toxic of rows for which `learnable` (of doc_id) holds."""
+    """From labels.toxic of rows for which `learnable` (of doc_id) holds; POSITIVES + UNLABELLED texts at most, one of each doc_id in either."""
     known = labels.where(learnable & F.col("toxic").isNotNull())
     share = known.agg(F.avg("toxic")).first()[0]
     prior = min(0.5, max(1e-3, share or 0.0))
     toxic = sampled(known.where("toxic = 1"), POSITIVES).withColumn("toxic", F.lit(True))
     rest = sampled(docs.where(learnable), UNLABELLED).withColumn("toxic", F.lit(False))
-    rows = docs.select("doc_id", "text").join(F.broadcast(toxic.union(rest)), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = texts_of(docs, toxic.union(rest)).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return train([(r.text or "").encode() for r in rows if r.toxic], [(r.text or "").encode() for r in rows if not r.toxic], prior)
 
