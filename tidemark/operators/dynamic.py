@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.rules import topic_score, window_status
 
-TERMS = 36  # of an item, by code point: the pairs of longer titles would grow with the square
+#: Terms of an item that form pairs, by code point, as many as titles have: pairs grow with the square. None takes all.
+TERMS = 36
 
 
-def term_pairs(items: DataFrame, terms: str = "terms") -> DataFrame:
-    """items with columns a and b for each pair of their first TERMS distinct terms."""
-    own = F.slice(F.array_sort(F.array_distinct(terms)), 1, TERMS)
+def term_pairs(items: DataFrame, terms: str = "terms", most: int | None = TERMS) -> DataFrame:
+    """items with columns a and b for each pair of their first `most` distinct terms (None: of all)."""
+    own = F.array_sort(F.array_distinct(terms))
+    own = own if most is None else F.slice(own, 1, most)
     pair = F.flatten(F.transform(own, lambda a: F.transform(F.filter(own, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return items.withColumn("_p", F.explode(pair)).select(*items.columns, "_p.a", "_p.b")
 
 
-def candidates(items: DataFrame, coverage: DataFrame, end: str) -> DataFrame:
+def candidates(items: DataFrame, coverage: DataFrame, end: str, most: int | None = TERMS) -> DataFrame:
     """Pairs of terms in two items or more of the 14 days up to `end`: a, b, recent, previous, sources, latest, status and score.
 
     items: item, day, host, terms, one row for each item. coverage: the days (column day) of which anything is known.
@@ -25,7 +27,7 @@ def candidates(items: DataFrame, coverage: DataFrame, end: str) -> DataFrame:
     day, last = F.col("day"), F.lit(end).cast("date")
     near = items.where(day.between(F.date_sub(last, 13), last))
     now = day >= F.date_sub(last, 6)
-    pairs = term_pairs(near).groupBy("a", "b").agg(
+    pairs = term_pairs(near, most=most).groupBy("a", "b").agg(
         F.count_if(now).alias("recent"), F.count_if(~now).alias("previous"), F.count_distinct(F.when(now, F.col("host"))).alias("sources"),
         F.max("day").alias("latest"), F.bool_or(day >= F.date_sub(last, 1)).alias("_fresh"),
     ).where("recent + previous >= 2")
@@ -37,7 +39,7 @@ def candidates(items: DataFrame, coverage: DataFrame, end: str) -> DataFrame:
     return own.select("a", "b", "recent", "previous", "sources", "latest", status.alias("status"), score.cast("double").alias("score"))
 
 
-def selected(found: DataFrame, items: DataFrame, end: str, limit: int = 6, overlap: float = 0.65) -> DataFrame:
+def selected(found: DataFrame, items: DataFrame, end: str, limit: int = 6, overlap: float = 0.65, most: int | None = TERMS) -> DataFrame:
     """Up to `limit` candidates with two recent items or more, in the order of the choice (column rank).
 
     Each time the greatest score / (1 + 2 * terms chosen before) wins, ties by a and b; who shares `overlap` or more of
@@ -47,7 +49,7 @@ def selected(found: DataFrame, items: DataFrame, end: str, limit: int = 6, overl
     rest = found.where("recent >= 2").persist()
     kept = [rest]
     near = items.where(F.col("day").between(F.date_sub(last, 13), last)).select("item", "terms")
-    members = term_pairs(near).select("a", "b", "item").join(rest.select("a", "b"), ["a", "b"], "left_semi").persist()
+    members = term_pairs(near, most=most).select("a", "b", "item").join(rest.select("a", "b"), ["a", "b"], "left_semi").persist()
     kept.append(members)
     used: list[str] = []
     chosen: list[tuple[str, str]] = []

@@ -35,8 +35,9 @@ def daily_counts(hits: DataFrame, day: str, item: str) -> DataFrame:
 
 
 def totals(hits: DataFrame, day: str, item: str, observed_days: DataFrame) -> DataFrame:
-    """Occurrences, distinct items, active days and their share of the days with any item (one row: n_days)."""
-    own = hits.groupBy("topic").agg(F.count("*").alias("occurrences"), F.count_distinct(item).alias("unique_items"), F.count_distinct(day).alias("active_days"))
+    """Occurrences, distinct items, active days and their share of the days with any item (one row: n_days); hits are summed by day and item before they meet."""
+    pre = hits.groupBy("topic", F.col(day).alias("_d"), F.col(item).alias("_i")).agg(F.count("*").alias("_n"))
+    own = pre.groupBy("topic").agg(F.sum("_n").alias("occurrences"), F.count_distinct("_i").alias("unique_items"), F.count_distinct("_d").alias("active_days"))
     return own.crossJoin(F.broadcast(observed_days)).select("topic", "occurrences", "unique_items", "active_days", half_up(F.col("active_days").cast("double") / F.col("n_days")).alias("active_day_rate"))
 
 
@@ -57,7 +58,9 @@ def top_sources(rows: DataFrame, group: str, source: str, n: int) -> DataFrame:
 
 def repeats(rows: DataFrame, key: Column, source: str, day: str) -> DataFrame:
     """Keys (such as normalised titles) that occur more than once: count, sources, days and density; empty keys don't count."""
-    groups = rows.withColumn("key", key).where("key != ''").groupBy("key").agg(F.count("*").alias("n"), F.count_distinct(source).alias("sources"), F.count_distinct(day).alias("days"))
+    # The key is worked out once: a condition on it would be moved below the grouping and work it out again, one on an aggregate isn't.
+    pre = rows.groupBy(key.alias("key"), F.col(source).alias("_s"), F.col(day).alias("_d")).agg(F.count("*").alias("_n"))
+    groups = pre.groupBy("key").agg(F.sum("_n").alias("n"), F.count_distinct("_s").alias("sources"), F.count_distinct("_d").alias("days"), F.max(F.length("key")).alias("_l")).where("_l > 0")
     density = half_up(F.col("n").cast("double") / F.col("days"))
     call = F.when((density >= 2) & (F.col("sources") >= 3), "syndicated").when(density >= 1.2, "mixed").otherwise("organic")
     return groups.where("n > 1").select("key", "n", "sources", "days", density.alias("density"), call.alias("call"))

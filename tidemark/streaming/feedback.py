@@ -45,6 +45,8 @@ def completed(result: DataFrame, folder: str, keep: Callable[[DataFrame, int], N
 
     In the mode "complete" every batch writes the whole result to a folder of its own and the last one counts, so a batch that is run again does no harm.
     """
+    if mode != "complete" and keep is None:
+        raise ValueError("a batch holds the whole result in the mode complete only; give keep for another")
     spark = result.sparkSession
     last: list[int] = []
 
