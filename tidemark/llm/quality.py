@@ -41,14 +41,17 @@ class Network:
         """One probability for each text data[off[i]:off[i + 1]]."""
         steps = np.maximum(1, -(-np.diff(off) // STEP))
         at = np.concatenate([[0], np.cumsum(steps)])
-        wide = np.zeros(at[-1] * STEP + WIDTH, np.int64)
-        wide[np.arange(len(data)) + np.repeat(at[:-1] * STEP - off[:-1], np.diff(off))] = data
+        # An empty step after each text, so that its last places don't reach into the next one.
+        begin = np.concatenate([[0], np.cumsum(steps + 1)])
+        wide = np.zeros(begin[-1] * STEP + WIDTH, np.int64)
+        wide[np.arange(len(data)) + np.repeat(begin[:-1] * STEP - off[:-1], np.diff(off))] = data
         pair = wide[:-1] * 256 + wide[1:]
-        top = np.empty((at[-1], FILTERS), np.float32)
-        for a in range(0, at[-1], 256):  # so that responses stay in the cache
-            b = min(at[-1], a + 256)
+        top = np.empty((begin[-1], FILTERS), np.float32)
+        for a in range(0, begin[-1], 256):  # so that responses stay in the cache
+            b = min(begin[-1], a + 256)
             own = pairs[0][pair[a * STEP : b * STEP]] + pairs[1][pair[a * STEP + 2 : b * STEP + 2]]
             top[a:b] = own.reshape(b - a, STEP, FILTERS).max(1)
+        top = np.delete(top, begin[1:] - 1, 0)
         last = np.zeros(at[-1], bool)
         last[at[1:] - 1] = True
         chunk = np.where(last[:, None], top, np.maximum(top, np.roll(top, -1, 0)))
