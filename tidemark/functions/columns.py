@@ -88,8 +88,9 @@ def capped(x: Column, most: int) -> Column:
 
 
 def lag_hours(later: Column, earlier: Column) -> Column:
-    """Hours between two timestamps, not below 0, to 4 places."""
-    return half_up(F.greatest(F.lit(0), F.unix_millis(later) - F.unix_millis(earlier)) / 3.6e6, 4)
+    """Hours between two timestamps, not below 0, to 4 places; null if either is."""
+    millis = F.unix_millis(later.cast("timestamp")) - F.unix_millis(earlier.cast("timestamp"))
+    return half_up(F.when(millis < 0, 0).otherwise(millis) / 3.6e6, 4)
 
 
 def day_number(day: Column) -> Column:
