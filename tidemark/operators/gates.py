@@ -313,3 +313,17 @@ def search_gate(proposals: DataFrame, facts: DataFrame, flags: DataFrame, unchan
     # At most `weekly` rows are kept, so their numbers come from one small task.
     ids = out.where(F.col(REASON).isNull()).select("seq", F.format_string("SP-%03d", F.row_number().over(W.orderBy("seq"))).alias("proposal_id"))
     return out.drop("proposal_id").join(F.broadcast(ids), "seq", "left")
+
+
+#: Phrases that tell a program to judge otherwise; names of a project's own settings come as `more`.
+ORDERS = r"系統指示|系統訊息|system (prompt|instruction|message)|ignore (the )?(previous|above|prior)|忽略(上述|之前|以上)|已由.{0,8}(核准|批准|授權)|請直接 ?accept|直接接受|一律 ?accept|target_files|\.github/|allowedTools|permission-mode"
+
+
+def ordered_about(texts: dict[str, Column], lists: dict[str, Column], more: tuple[str, ...] = ()) -> Column:
+    """The first field that holds such a phrase: the texts in their order, then the lists, as name[i]; null if none does."""
+    pattern = f"(?i)({'|'.join([ORDERS, *more])})"
+    found = [F.when(F.coalesce(c.rlike(pattern), F.lit(False)), name) for name, c in texts.items()]
+    for name, c in lists.items():
+        at = F.array_position(F.transform(c, lambda x: F.coalesce(x.rlike(pattern), F.lit(False))), F.lit(True))
+        found.append(F.when(at > 0, F.concat(F.lit(f"{name}["), at - 1, F.lit("]"))))
+    return F.coalesce(*found)

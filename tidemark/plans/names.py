@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import matching, outlets, topics, transitions
-from tidemark.plans.catalog import _read, query
+from tidemark.operators import clusters, matching, outlets, topics, transitions
+from tidemark.plans.catalog import _items, _read, query
 from tidemark.plans.trends import TOPICS
 
 _EACH = "[" + ", ".join(f"{{'topic': '{k}', 'terms': list_filter([{', '.join(f'CASE WHEN regexp_matches(l, {chr(39)}{topics.pattern((t,))}{chr(39)}) THEN {t!r} END' for t in ts)}], lambda x: x IS NOT NULL)}}" for k, ts in TOPICS.items()) + "]"
@@ -48,3 +48,31 @@ def proposal_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = own.where("c_custkey % 7 > 0").selectExpr("proposal_id", "category", "target_files", f"{_STATUS.format('c_custkey')} AS status", "CASE WHEN c_custkey % 7 IN (2, 3) THEN '2024-01-01' END AS evaluated_at")
     verdicts = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS seq", "CAST(o_custkey AS string) AS proposal_id", f"{_VERDICT} AS verdict")
     return transitions.decided(known, verdicts, own.drop("c_custkey"), r"^scripts/prompts/[a-z_]+\.md$", "2024-02-01").drop("target_files")
+
+
+_HIT = f"x AS (SELECT doc_id, lang, source, day, item, string_split(text, chr(10))[1] AS title, m.topic AS topic, m.terms AS terms FROM (SELECT *, unnest({_EACH}) AS m FROM (SELECT *, lower(text) AS l, md5(text) AS item, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS DATE) AS day FROM documents)) WHERE len(m.terms) > 0)"
+_BEST = "f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY topic, item ORDER BY day, doc_id) = 1), e AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY source LIKE '%1' DESC, day DESC, title, item) AS rank FROM f QUALIFY rank <= 8)"
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir).withColumn("title", F.substring_index("text", "\n", 1))
+    return matching.matched(items, "text", TOPICS).drop("text")
+
+
+@query(f"WITH {_HIT}, {_BEST} SELECT topic, CAST(rank AS INT) AS rank, item, doc_id, day, 'Matched ' || array_to_string(terms[1:4], ', ') AS reason FROM e")
+def cluster_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best documents of each topic (the limit is the feature), good sources and late days first."""
+    own = clusters.evidence(_hits(spark, sf_dir), "item", ["day", "doc_id"], F.col("source").endswith("1"))
+    return own.select("topic", "rank", "item", "doc_id", "day", "reason")
+
+
+@query(f"""WITH {_HIT}, {_BEST}, s AS (SELECT topic, count(*) AS score FROM x GROUP BY topic), c AS (SELECT topic, string_agg(DISTINCT lang, ',' ORDER BY lang) AS categories FROM x GROUP BY topic),
+p AS (SELECT topic, string_agg(source, ',' ORDER BY source) AS sources FROM (SELECT DISTINCT topic, source FROM x QUALIFY dense_rank() OVER (PARTITION BY topic ORDER BY source) <= 10) GROUP BY topic), l AS (SELECT topic, string_agg(item, ',' ORDER BY rank) AS evidence FROM e GROUP BY topic)
+SELECT topic, score, categories, sources, evidence, CAST(row_number() OVER (ORDER BY score DESC, topic) AS INT) AS rank FROM s JOIN c USING (topic) JOIN p USING (topic) JOIN l USING (topic)""")
+def ranked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics by their number of hits, each with its languages, first sources and evidence."""
+    hits = _hits(spark, sf_dir)
+    scores = hits.groupBy("topic").agg(F.count("*").alias("score"))
+    found = clusters.evidence(hits, "item", ["day", "doc_id"], F.col("source").endswith("1"))
+    own = clusters.clusters(scores, hits, found, "item", "lang", "source")
+    return own.select("topic", "score", F.array_join("categories", ",").alias("categories"), F.array_join("sources", ",").alias("sources"), F.array_join(F.transform("evidence", lambda x: x["item"]), ",").alias("evidence"), "rank")
