@@ -115,8 +115,8 @@ def inventory(expected: DataFrame, found: DataFrame, excluded: DataFrame) -> Dat
     expected: group, path; found: group, path, content (text), is_file; excluded: path. status: missing, invalid_type (no file), invalid_json, invalid_date or
     available. Contents are judged where they are read; only digests and errors are shuffled. Of repeated rows one counts.
     """
-    v = F.try_parse_json("content")
-    own = found.withColumns({"_v": v, "_fields": F.coalesce(date_fields(v), F.expr("CAST(array() AS array<struct<name:string,kind:string,valid:boolean>>)"))})
+    own = found.withColumn("_v", F.try_parse_json("content"))
+    own = own.withColumn("_fields", F.coalesce(date_fields(F.col("_v")), F.expr("CAST(array() AS array<struct<name:string,kind:string,valid:boolean>>)")))
     wrong = F.transform(F.filter("_fields", lambda f: ~f["valid"]), lambda f: F.concat(F.lit("invalid_date:"), f["name"]))
     status = F.when(~F.col("is_file"), "invalid_type").when(F.col("_v").isNull(), "invalid_json").when(F.size(wrong) > 0, "invalid_date").otherwise("available")
     errors = F.when(~F.col("is_file"), F.array(F.lit("not_a_regular_file"))).when(F.col("_v").isNull(), F.array(F.lit("invalid_json"))).otherwise(wrong)
