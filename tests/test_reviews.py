@@ -109,3 +109,10 @@ def test_the_report_of_all_and_of_none(spark):
 def test_metrics_without_known_columns_match_nothing(spark):
     own = spark.createDataFrame([(1, "a", ["0.5"])], "seq long, category string, evidence array<string>")
     assert reviews.evidenced(own, spark.createDataFrame([("a", "2026-03-01", 0.5)], "category string, date string, other double")).count() == 0
+
+
+def test_only_the_exact_reply_decides(spark):
+    packets = spark.createDataFrame([("r1", "APPROVE r1 ab", "REJECT r1 ab"), ("r2", None, "REJECT r2 cd")], "request_id string, exact_approve string, exact_reject string")
+    replies = [("r1", "APPROVE r1 ab", "approve", None), ("r1", "REJECT r1 ab", "reject", None), ("r1", "approve r1 ab", None, "exact_request_bound_reply_required"), ("r1", "APPROVE r1 ab ", None, "exact_request_bound_reply_required"), ("r2", "REJECT r1 ab", None, "exact_request_bound_reply_required"), ("r2", "", None, "exact_request_bound_reply_required"), ("r2", None, None, "invalid_decision_input"), ("zz", "x", None, "invalid_decision_input"), (None, "x", None, "invalid_decision_input")]
+    got = reviews.decided(packets, spark.createDataFrame([r[:2] for r in replies], "request_id string, reply string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(replies, key=repr)

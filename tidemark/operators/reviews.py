@@ -168,3 +168,15 @@ def change_report(gated: DataFrame) -> DataFrame:
     """One row: overall (accept if anything is accepted), score (accepted of all, to 3 places, 0 of none), proposals and accepted."""
     n, yes = F.count("*"), F.count_if(F.col("verdict") == "accept")
     return gated.agg(F.when(yes > 0, "accept").otherwise("reject").alias("overall"), F.when(n > 0, F.floor(yes / n * 1000 + 0.5) / 1000).otherwise(0.0).alias("score"), n.alias("proposals"), yes.alias("accepted"))
+
+
+def decided(packets: DataFrame, replies: DataFrame) -> DataFrame:
+    """replies (request_id, reply) with decision and reason: approve or reject only where the reply is, to the letter, what its packet (request_id, exact_approve, exact_reject; one row each) asks for.
+
+    A null reply or one without a packet is invalid_decision_input, any other text exact_request_bound_reply_required. If both texts are the same it is approve.
+    """
+    own = replies.join(packets.select("request_id", "exact_approve", "exact_reject", F.lit(True).alias("_there")), "request_id", "left")
+    reply = F.col("reply")
+    decision = F.when(reply == F.col("exact_approve"), "approve").when(reply == F.col("exact_reject"), "reject")
+    reason = F.when(reply.isNull() | F.col("_there").isNull(), "invalid_decision_input").when(decision.isNull(), "exact_request_bound_reply_required")
+    return own.select(*replies.columns, decision.alias("decision"), reason.alias("reason"))
