@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Hasher, Scratch, kept, mixed, pieces, small_batches, utf8, words
@@ -39,6 +40,8 @@ from tidemark.llm.components import components
 BUCKETS_BITS, COLD, BLOCK = 20, 32, 4096
 #: Times the mean count of a bucket, plus the second number, above which tokens are taken in pairs and in triples.
 FREQUENT, VERY_FREQUENT = (2, 64), (8, 2048)
+#: The bit of an entry that tells triples, the only entries whose number of documents has no bound, from the others.
+_TRIPLE = np.uint64(1)
 _PLACE = mixed(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 #: Bits of the filter of document ids whose sets are needed: 32 for each id, within these powers of two. A full filter only lets more through.
 _FILTER_BITS = (20, 28)
@@ -165,7 +168,7 @@ def _subclasses(e: int) -> int:
 
 
 def entries(x: np.ndarray, at: np.ndarray, classes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries (64-bit) and the row of each."""
+    """Index entries (64-bit, the lowest bit set in those of triples) and the row of each."""
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
     kind = classes[(x >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)]
@@ -177,12 +180,13 @@ def entries(x: np.ndarray, at: np.ndarray, classes: np.ndarray, num: int, den: i
     rare = np.bincount(row, kind == 0, len(n)).astype(np.int64)
     place = np.arange(len(x)) - at[:-1][row]
     single = (kind == 0) & (place < need[row]) & ~alone[row]
-    out, rows = [x[single]], [row[single]]
+    out, rows = [x[single] & ~_TRIPLE], [row[single]]
     for r in np.flatnonzero((rare < need) & ~alone):
         tokens = x[at[r] + rare[r] : at[r + 1]].tolist()
         kinds = (kind[at[r] + rare[r] : at[r + 1]] + 1).tolist()
         g, last = _subclasses(int(need[r]) - 1), _subclasses(_missing(int(most[r]), num, den))
         own: list[int] = []
+        triple: list[bool] = []
         while g <= last:
             have, groups = int(rare[r]), {}
             for t, k in zip(tokens, kinds, strict=True):
@@ -195,9 +199,10 @@ def entries(x: np.ndarray, at: np.ndarray, classes: np.ndarray, num: int, den: i
                     own += [_combined(salt, u, t) for u in group]
                 else:
                     own += [_combined(salt, u, v, t) for i, v in enumerate(group) for u in group[:i]]
+                triple += [k == 3] * (len(own) - len(triple))
                 group.append(t)
             g *= 2
-        out.append(mixed(np.array(own, np.uint64)))
+        out.append(mixed(np.array(own, np.uint64)) & ~_TRIPLE | np.array(triple, np.uint64))
         rows.append(np.full(len(own), r))
     return np.concatenate(out), np.concatenate(rows)
 
@@ -324,6 +329,21 @@ def _blocked(rest: DataFrame, info: DataFrame, num: int, den: int, forest: bool)
     return tiles.groupBy("sig", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def _shared(own: DataFrame) -> DataFrame:
+    """sig, id, pivot (least id) and m (number of rows) of the entries with several ids, from all rows of sig and id.
+
+    Entries of one token or two are in no more documents than their class allows, so they are shuffled once and met in
+    windows. Those of triples may be in a large part of all documents: counted before the shuffle, then joined, where Spark splits hot ones.
+    """
+    triple = F.col("sig").bitwiseAND(1) == 1
+    of = W.partitionBy("sig")
+    few = own.where(~triple).select("sig", "id", F.min("id").over(of).alias("pivot"), F.max("id").over(of).alias("last"), F.count("*").over(of).alias("m"))
+    many = own.where(triple)
+    heads = many.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("m")).where("pivot != last")
+    met = few.where("pivot != last").select("sig", "id", "pivot", "m")
+    return met.union(many.join(heads.hint("merge"), "sig").select("sig", "id", "pivot", "m"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of each document: the least doc_id reachable by links, itself included."""
     with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
@@ -336,8 +356,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             links = keep(known.join(same, ["n", "d1", "d2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
             copies = links.select(F.col("a").alias("doc_id")).distinct()
             own = whole.where("doc_id is not null").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
-            heads = own.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("m")).where("pivot != last")
-            shared = keep(own.join(heads.hint("merge"), "sig").select("sig", "id", "pivot", "m"))
+            shared = keep(_shared(own))
         info = known.select(F.col("doc_id").alias("id"), "n", "bits").distinct()
 
         comp = None  # the components of links, until there are new ones
