@@ -10,7 +10,7 @@ subclasses by hash so that their number stays linear. The prefix is extended unt
 each subclass, the tokens beyond k - 1 number e + 1: no set of e missing tokens then avoids a shared entry.
 
 Equal sets become one representative first. Entries with one representative drop out. In the others the least
-id is a pivot that is paired with the rest, then the least of those left in entries that still hold more than one
+id is a pivot that is paired with those of the rest whose sizes allow a link, then the least of those left in entries that still hold more than one
 component. A pair goes on if sizes allow a link and so do parity bitmaps of the sets (bits of equal place cancel,
 so differing bits never exceed differing tokens); pairs that are left are verified on the sets themselves. What the
 pivots leave unjoined is compared whole: entries of at most COLD representatives give their pairs across
@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Hasher, Scratch, kept, mixed, pieces, small_batches, utf8, words
@@ -209,6 +209,12 @@ def _combined(salt: int, *tokens: int) -> int:
     return salt
 
 
+def _like_sizes(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sets of these sizes may link; a null size may with any."""
+    x, y = (F.col(c).cast("long") for c in (a, b))
+    return F.coalesce((x * den >= y * num) & (y * den >= x * num), F.lit(True))
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id, n and the sorted set as bytes, of the documents whose id is among ids (column id), and of some others."""
     power = int(np.clip((32 * ids.count()).bit_length(), *_FILTER_BITS))
@@ -256,7 +262,7 @@ def possible(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in range(2)], ["a", "b"])
 
     left, right = (info.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
-    near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+    near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(_like_sizes("na", "nb", num, den))
     return near.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
@@ -335,9 +341,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             same = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep != last")
             links = keep(known.join(same, ["n", "d1", "d2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
             copies = links.select(F.col("a").alias("doc_id")).distinct()
-            own = whole.where("doc_id is not null").join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
-            heads = own.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("m")).where("pivot != last")
-            shared = keep(own.join(heads.hint("merge"), "sig").select("sig", "id", "pivot", "m"))
+            # An id whose texts differ in size has no one size, so its pairs are all made.
+            sizes = known.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low != high")
+            own = whole.where("doc_id is not null").join(copies, "doc_id", "left_anti").join(sizes, "doc_id", "left")
+            own = own.select(F.col("doc_id").alias("id"), F.when(F.col("low").isNull(), F.col("n")).cast("int").alias("n"), F.explode("sigs").alias("sig"))
+            heads = own.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("np"), F.max("id").alias("last"), F.count("*").alias("m")).where("pivot != last")
+            shared = keep(own.join(heads.hint("merge"), "sig").select("sig", "id", "n", "pivot", "np", "m"))
         info = known.select(F.col("doc_id").alias("id"), "n", "bits").distinct()
 
         comp = None  # the components of links, until there are new ones
@@ -359,20 +368,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             return comp
 
         def labelled(df: DataFrame) -> DataFrame:
-            """sig, id, m and the component so far of each id."""
-            return df.select("sig", "id", "m").join(labels(), "id", "left").select("sig", "id", "m", F.coalesce("comp", "id").alias("comp"))
+            """sig, id, n, m and the component so far of each id."""
+            return df.select("sig", "id", "n", "m").join(labels(), "id", "left").select("sig", "id", "n", "m", F.coalesce("comp", "id").alias("comp"))
 
-        link(shared.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+        # Sizes go with the entries, so that pairs whose sizes rule a link out are never made.
+        link(shared.where((F.col("id") != F.col("pivot")) & _like_sizes("n", "np", num, den)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
         # Entries of two are done. In the others a pivot has met all others and is left out from here on.
         rest = keep(labelled(shared.where("m > 2 and id != pivot")))
-        pivots = rest.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("comp", "id").alias("of"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-        rest = keep(rest.join(pivots.select("sig", "pivot", "of"), "sig").where("id != pivot"))
+        pivots = rest.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("np"), F.min_by("comp", "id").alias("of"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+        rest = keep(rest.join(pivots.select("sig", "pivot", "np", "of"), "sig").where("id != pivot"))
         if not rest.isEmpty():
-            link(rest.where("comp != of").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+            link(rest.where((F.col("comp") != F.col("of")) & _like_sizes("n", "np", num, den)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
             rest = keep(labelled(rest))
             cold, hot = rest.where(F.col("m") <= COLD), rest.where(F.col("m") > COLD)
-            left, right = (cold.select("sig", F.col("id").alias(k), F.col("comp").alias(f"comp{k}")) for k in "ab")
-            pairs = left.join(right, "sig").where("a < b and compa != compb").select("a", "b")
+            left, right = (cold.select("sig", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"comp{k}")) for k in "ab")
+            pairs = left.join(right, "sig").where(F.expr("a < b and compa != compb") & _like_sizes("na", "nb", num, den)).select("a", "b")
             link(pairs.union(_blocked(hot, info, num, den, True)).distinct())
             if not hot.isEmpty():
                 link(_blocked(labelled(hot), info, num, den, False))
