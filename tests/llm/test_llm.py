@@ -83,6 +83,11 @@ def test_jaccard_of_odd_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "sigs": F.lit(2), "component_id": F.lit(3)})
     got = jaccard.near_duplicates(docs, 4, 85, 100).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (3, 1)]
+    # An id may have a copy and another text, and texts of any sizes: all of them link.
+    far = " ".join(map(str, range(100, 400)))
+    rows = [(1, "a b c d e f"), (1, text), (3, text), (3, far), (7, far + " end"), (5, "a b c d e f"), (8, "x y z"), (9, "g " * 9), (9, far + " fin")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (3, 1), (5, 1), (7, 1), (8, 8), (9, 1)}
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1]
 
