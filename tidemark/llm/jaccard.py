@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             copies = first.keep(known.join(same, ["n", "d1", "d2"]).where("doc_id != rep").select("doc_id", "n", "d1", "d2", "rep").distinct())
             links = keep(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
             # An id whose texts differ in size has no one size, so its pairs are all made.
-            sizes = known.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low != high")
+            sizes = first.keep(known.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low != high"))
             own = whole.where("doc_id is not null").join(copies, ["doc_id", "n", "d1", "d2"], "left_anti").join(sizes, "doc_id", "left")
             own = own.select(F.col("doc_id").alias("id"), F.when(F.col("low").isNull(), F.col("n")).cast("int").alias("n"), F.explode("sigs").alias("sig"))
             heads = own.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("np"), F.max("id").alias("last"), F.count("*").alias("m")).where("pivot != last")
