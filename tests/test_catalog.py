@@ -35,3 +35,12 @@ def test_windows_and_novelty_of_the_survey(spark):
     assert {"moving_average_7", "moving_average_30", "moving_average_90"} <= set(QUERIES)
     novelty = QUERIES["document_jaccard_novelty"](spark, DIR)
     assert novelty.count() == spark.read.parquet(f"{DIR}/documents.parquet").count() and novelty.where("novelty < 1").count()
+
+
+def test_means_of_the_band_join_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    values = [(i, i % 40, "purchase" if i % 4 == 0 else "view", round((i * 7919 % 9973) / 100 + 0.01, 2)) for i in range(8000)]
+    got = []
+    for k, own in enumerate((values, values[::-1], sorted(values, key=lambda r: r[3]))):
+        spark.createDataFrame(own, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/{k}/events.parquet")
+        got.append(rows(["event_id", "v", "metric", "m"], map(tuple, QUERIES["evidence_band_join"](spark, f"{tmp_path}/{k}").collect())))
+    assert got[0] and got[0] == got[1] == got[2]

@@ -43,8 +43,8 @@ def filled_up(current: DataFrame, older: DataFrame, group: str, key: str, order:
 
 
 def band_pairs(numbers: DataFrame, metrics: DataFrame, width: float) -> DataFrame:
-    """Rows of numbers (id, v) and metrics (metric, m) with |v - m| < width: an equality join on cells of that width and their neighbours."""
-    cell = lambda c: F.floor(F.col(c) / width)
+    """Rows of numbers (id, v) and metrics (metric, m) with |v - m| < width: an equality join on cells a little wider than that, so that rounding loses nothing, and their neighbours."""
+    cell = lambda c: F.floor(F.col(c) / (width * 1.001))
     near = metrics.select("metric", "m", F.explode(F.array(cell("m") - 1, cell("m"), cell("m") + 1)).alias("cell"))
     return numbers.withColumn("cell", cell("v")).join(near, "cell").where(F.abs(F.col("v") - F.col("m")) < width).drop("cell")
 
