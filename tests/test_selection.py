@@ -167,3 +167,25 @@ def test_redraw_equals_the_loop(spark):
 def test_places():
     assert [exploration.slots(b, q) for b, q in ((10, 0.2), (6, 0.25), (0, 0.5), (5, 0), (5, 1), (3, 0.5))] == [3, 2, 0, 0, 0, 3]
     assert exploration.hhi_of([]) == 0 and exploration.hhi_of(["a"]) == 1 and exploration.hhi_of(list("abcd")) == 0.25
+
+
+def test_pairs_of_blocks_are_those_of_the_ratio():
+    """No bound loses a pair: short, long and very long titles, other scripts, characters that share a number."""
+    rng = random.Random(5)
+    bases = ["".join(rng.choice(letters) for _ in range(n)) for n, letters in [(3, "ab"), (8, "abc"), (60, "abcdefgh "), (63, "abcd"), (66, "abcdefghij"), (150, "ab c"), (1100, "abcdef"), (40, "新聞標題中文字\U0001f600"), (50, "aŜ")]]
+    titles = {""}
+    for t in bases * 9:
+        x = list(t)
+        for _ in range(rng.randrange(0, 1 + len(x) // 3)):
+            k = rng.randrange(len(x))
+            x[k : k + 1] = rng.choice([[], [rng.choice("xyzq新")], [x[k], x[k]]])
+            if not x:
+                break
+        titles.add("".join(x))
+    titles = sorted(titles)
+    want = {(x, y) for x in titles for y in titles if x != y and SequenceMatcher(None, x, y).ratio() > 0.8}
+    got = []
+    for bi, bj in ((0, 0), (0, 1), (1, 1)):
+        own = fuzzy.pd.DataFrame([(t, i % 2, bi, bj) for i, t in enumerate(titles) if i % 2 in (bi, bj)], columns=["low", "block", "bi", "bj"])
+        got += fuzzy._pairs(own).itertuples(index=False, name=None)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100

@@ -5,71 +5,95 @@ dropped once an earlier kept neighbour is known, and kept once all its earlier n
 the first undecided one, and mostly nearly all. Items with one address or one title are groups, never pairs: a round needs only the least kept and
 the least undecided number of each. Pairs exist between different titles alone.
 
-Which titles can be that much alike: of lengths a and b, T = a + b, more than 0.4 T characters match, in blocks with an unmatched character
-between any two, so that they share over 0.2 T - 1 pairs of neighbouring characters, each occurrence counted. Titles are indexed by the rarest of these,
-as many as cannot all be missing, and the ratio itself, difflib's, is taken on the pairs that are left, in Arrow batches.
+Titles of one language share most of their letters and pairs of letters, so no index of grams keeps unlike ones apart; all pairs of different titles are looked at, which is
+quadratic, but in blocks of about BLOCK titles: a task holds two blocks, a title is shuffled once for each block, and no pair leaves its task before the ratio itself, difflib's, has
+been taken. Of lengths a and b more than 0.4 (a + b) characters match, in order, so as many characters are common at least (counted by a matrix product) and so long is
+the longest common subsequence (64 characters of one title in a machine word, many pairs at once). Both are upper bounds, so nothing is lost.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.tables import Steps
 
 RATIO = 0.8
-
-
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbouring characters, the k-th occurrence of one in a title marked by k."""
-    for b in batches:
-        out = []
-        for t in b.column(0).to_pylist():
-            seen: Counter[str] = Counter()
-            own = []
-            for i in range(len(t) - 1):
-                g = t[i : i + 2]
-                seen[g] += 1
-                own.append(f"{g}{seen[g]}")
-            out.append(own)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["low", "grams"])
-
-
-def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which titles x, coming after y, count as equal to it; the ratio is not symmetric."""
-    for b in batches:
-        ok = []
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            m = SequenceMatcher(None, x, y)
-            ok.append(m.quick_ratio() > RATIO and m.ratio() > RATIO)
-        yield b.filter(pa.array(ok, pa.bool_()))
+#: Titles of a block; pairs looked at together; longer titles than LONG go to the ratio without a bound on their order.
+BLOCK, TOGETHER, LONG = 3000, 1 << 18, 1024
+_WORD, _NONE, _MOST = 64, 255, 64
+
+def _shape(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, characters as numbers (equal ones have equal numbers, others may) up to LONG, and how often each number occurs."""
+    each = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 251 for t in texts]
+    codes = np.full((len(each), min(LONG, max(map(len, each), default=0))), _NONE, np.uint8)
+    for row, x in zip(codes, each, strict=True):
+        row[: len(x)] = x[:LONG]
+    return np.array([len(x) for x in each]), codes, np.array([np.bincount(x, minlength=251) for x in each]).reshape(-1, 251)
+
+
+def _common(many: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose products are the numbers of characters in common, up to the _MOST-th of each."""
+    both = [(c, k) for c in range(251) for k in range(1, min(_MOST, many[:, c].max(initial=0), other[:, c].max(initial=0)) + 1)]
+    c, k = (np.array([x[n] for x in both], int) for n in (0, 1))
+    return (many[:, c] >= k).astype(np.float32), (other[:, c] >= k).astype(np.float32)
+
+
+def _in_order(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of rows of codes no less than their longest common subsequence: the sum over the first one's words of 64 characters."""
+    out = np.zeros(len(i), int)
+    for at in range(0, a.shape[1], _WORD):
+        part = a[:, at : at + _WORD]
+        masks = np.zeros((len(a), 256), np.uint64)
+        for p in range(part.shape[1]):
+            masks[np.arange(len(a)), part[:, p]] |= np.uint64(1 << p)
+        masks[:, _NONE] = 0
+        v = np.full(len(i), ~np.uint64(0))
+        for p in range(b.shape[1]):
+            u = v & masks[i, b[j, p]]
+            v = (v + u) | (v - u)
+        out += np.bitwise_count(~v)
+    return out
+
+
+def _pairs(own: pd.DataFrame) -> pd.DataFrame:
+    """x and y of two blocks, where x, coming after y, counts as equal to it; the ratio is not symmetric."""
+    a, b = (own.loc[own["block"] == own[k], "low"].tolist() for k in ("bi", "bj"))
+    same, found = own["bi"].iloc[0] == own["bj"].iloc[0], []
+    (na, ca, ha), (nb, cb, hb) = _shape(a), _shape(b)
+    fa, fb = _common(ha, hb)
+    over, past = (np.maximum(h - _MOST, 0).sum(axis=1) for h in (ha, hb))
+    step = max(1, TOGETHER // max(1, len(b)))
+    for at in range(0, len(a), step):
+        rows = slice(at, at + step)
+        need = 2 * (na[rows, None] + nb) // 5 + 1
+        likely = fa[rows] @ fb.T + np.minimum(over[rows, None], past) >= need
+        if same:
+            likely &= np.arange(at, at + likely.shape[0])[:, None] < np.arange(len(b))
+        i, j = np.nonzero(likely)
+        least, long = need[i, j], (na[rows][i] > LONG) | (nb[j] > LONG)
+        near = long | (_in_order(ca[rows], cb, i, j) >= least)
+        for k, m in zip(i[near], j[near], strict=True):
+            for x, y in ((a[at + k], b[m]), (b[m], a[at + k])):
+                s = SequenceMatcher(None, x, y)
+                if s.quick_ratio() > RATIO and s.ratio() > RATIO:
+                    found.append((x, y))
+    return pd.DataFrame(found, columns=["x", "y"], dtype=object)
 
 
 def alike(titles: DataFrame, steps: Steps) -> DataFrame:
     """x and y: pairs of different titles (distinct, column low), where x after y is a duplicate of it."""
-    grams = steps.keep(titles.mapInArrow(_grams, "low string, grams array<string>"))
-    each = grams.select("low", F.explode("grams").alias("g"))
-    counts = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    n = F.char_length("low")
-    place = F.row_number().over(W.partitionBy("low").orderBy("df", "g"))
-    # Of grams that no other title has only the number counts; they come first.
-    alone = grams.select("low", F.size("grams").alias("m"))
-    shared = each.join(counts, "g").withColumn("p", place).join(alone, "low").withColumn("of", F.count("*").over(W.partitionBy("low"))).withColumn("p", F.col("p") + F.col("m") - F.col("of"))
-    # A partner has over two thirds of the characters, so 0.2 T is at least this many.
-    least = F.greatest(F.lit(1), F.floor((n + F.floor(n * 2 / 3) + 1) / 5))
-    index = steps.keep(shared.where(F.col("p") <= F.col("m") - least + 1).select("low", "g", "p", "m", n.alias("n")))
-    a, b = (index.select("g", *(F.col(c).alias(f"{c}{k}") for c in ("low", "p", "m", "n"))) for k in "ab")
-    total = F.col("na") + F.col("nb")
-    need = 3 * (F.floor(2 * total / 5) + 1) - total - 1
-    near = a.join(b, "g").where((F.col("lowa") < F.col("lowb")) & (3 * F.col("na") > 2 * F.col("nb")) & (3 * F.col("nb") > 2 * F.col("na")) & (F.least(F.col("ma") - F.col("pa"), F.col("mb") - F.col("pb")) + 1 >= need))
-    pairs = near.select(F.col("lowa").alias("x"), F.col("lowb").alias("y")).distinct()
-    return steps.keep(pairs.union(pairs.select("y", "x")).mapInArrow(_ratios, "x string, y string"))
+    titles = steps.keep(titles)
+    blocks = max(1, -(-titles.count() // BLOCK))
+    own = titles.withColumn("block", F.pmod(F.xxhash64("low"), F.lit(blocks)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = own.select("low", "block", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"))
+    # As many tasks as pairs of blocks, whatever their bytes.
+    dealt = own.repartition(min(10_000, blocks * (blocks + 1) // 2), "bi", "bj")
+    return steps.keep(dealt.groupBy("bi", "bj").applyInPandas(_pairs, "x string, y string"))
 
 
 def deduplicated(items: DataFrame, order: str, url: str, title: str, similar: bool = True) -> DataFrame:
