@@ -110,6 +110,26 @@ def test_entries_meet_for_every_linked_pair(kind):
             assert jaccard._differing([u], [v])[0] <= len(np.setxor1d(a, b))
 
 
+def test_entries_within_others_go_and_no_pair_is_lost(spark):
+    """Twenty entries of a passage's documents are compared as one, whatever else the documents are in."""
+    rng = random.Random(8)
+    sets = {s: set(range(40)) for s in range(20)} | {100 + s: set(rng.sample(range(60), 9)) for s in range(12)} | {200: set(range(30)), 201: set(range(5, 38))}
+    rows = [(s, i, len(x)) for s, x in sets.items() for i in x]
+    left = {}
+    for r in jaccard.uncovered(spark.createDataFrame(rows, "sig long, id long, m long")).collect():
+        left.setdefault(r.sig, set()).add(r.id)
+    pairs = lambda own: {(a, b) for x in own.values() for a in x for b in x if a < b}
+    assert pairs(left) == pairs(sets) and all(sets[s] == x for s, x in left.items())
+    assert sum(s < 100 for s in left) == 1 and not {200, 201} & set(left)
+
+
+def test_without_is_an_anti_join(spark):
+    rows = [(i, i % 3, i % 2) for i in range(-50, 3000)] * 2
+    all_, some = spark.createDataFrame(rows, "doc_id long, n long, x long"), spark.createDataFrame([(i, 1) for i in range(1, 900, 7)], "doc_id long, n long")
+    assert sorted(jaccard.without(all_, some, ["doc_id", "n"]).collect()) == sorted(all_.join(some, ["doc_id", "n"], "left_anti").collect())
+    assert jaccard.without(all_, some.limit(0), ["doc_id", "n"]).count() == len(rows)
+
+
 def test_components_of_a_path(spark):
     rows = [(i, i + 1) for i in range(20)] + [(30, 31), (5, 5)]
     with Scratch(spark) as scratch:

@@ -55,6 +55,13 @@ class Scratch:
         df.write.format("parquet").saveAsTable(table)
         return self.spark.table(table)
 
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """The distinct rows of df, computed once, as a table in buckets of the key, which joins and groupings by it need not shuffle again."""
+        self.count += 1
+        table, n = f"{self.name}.t{self.count}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, key).distinct().write.format("parquet").bucketBy(n, key).saveAsTable(table)
+        return self.spark.table(table)
+
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:

@@ -13,7 +13,7 @@ Equal sets become one representative first. Entries with one representative drop
 id is a pivot that is paired with those of the rest whose sizes allow a link, then the least of those left in entries that still hold more than one
 component. A pair goes on if sizes allow a link and so do parity bitmaps of the sets (bits of equal place cancel,
 so differing bits never exceed differing tokens); pairs that are left are verified on the sets themselves. What the
-pivots leave unjoined is compared whole: entries of at most COLD representatives give their pairs across
+pivots leave unjoined is compared whole, but for entries within another one: entries of at most COLD representatives give their pairs across
 components; in larger ones the main component meets the rest, and the rest itself, two blocks at a time, by size and
 bitmap: at first a forest of possible pairs is verified, which joins most components, then every possible
 pair across the rest. So nothing is left out.
@@ -31,12 +31,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Hasher, Scratch, kept, mixed, pieces, small_batches, utf8, words
 from tidemark.llm.components import components
 
-BUCKETS_BITS, COLD, BLOCK = 20, 32, 4096
+BUCKETS_BITS, COLD, BLOCK, SEEN = 20, 32, 4096, 64
 #: Times the mean count of a bucket, plus the second number, above which tokens are taken in pairs and in triples.
 FREQUENT, VERY_FREQUENT = (2, 64), (8, 2048)
 _PLACE = mixed(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
@@ -215,8 +216,8 @@ def _like_sizes(a: str, b: str, num: int, den: int) -> Column:
     return F.coalesce((x * den >= y * num) & (y * den >= x * num), F.lit(True))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, n and the sorted set as bytes, of the documents whose id is among ids (column id), and of some others."""
+def marks(ids: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """Whether ids (not null) may be among those of the table (column id): true for all of these and for some others. For use in tasks."""
     power = int(np.clip((32 * ids.count()).bit_length(), *_FILTER_BITS))
 
     def place(x: pa.Array) -> np.ndarray:
@@ -229,13 +230,22 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         yield np.packbits(seen)
 
     flat = _sums(ids.select("id"), mark, np.bitwise_or)
-    marked = docs.sparkSession.sparkContext.broadcast(flat if len(flat) else np.zeros((1 << power) // 8, np.uint8))
+    marked = ids.sparkSession.sparkContext.broadcast(flat if len(flat) else np.zeros((1 << power) // 8, np.uint8))
+
+    def maybe(x: pa.Array) -> np.ndarray:
+        at = place(x)
+        return marked.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+
+    return maybe
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, n and the sorted set as bytes, of the documents whose id is among ids (column id), and of some others."""
+    maybe = marks(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value
         for b in batches:
-            at = place(b.column(0))
-            for p in pieces(iter([b.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))])):
+            for p in pieces(iter([b.filter(pa.array(maybe(b.column(0))))])):
                 x, at = shingle_sets(*utf8(p), width)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(np.diff(at), pa.int64()), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "n", "tokens"])
 
@@ -330,24 +340,48 @@ def _blocked(rest: DataFrame, info: DataFrame, num: int, den: int, forest: bool)
     return tiles.groupBy("sig", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def without(rows: DataFrame, some: DataFrame, on: list[str]) -> DataFrame:
+    """rows (doc_id not null) less those that are equal in the columns `on`, doc_id among them, to a row of some; only rows whose id may be among theirs are shuffled."""
+    maybe = marks(some.select(F.col("doc_id").alias("id")))
+    near = F.pandas_udf(lambda x: pd.Series(maybe(x.to_numpy())), "boolean")("doc_id")
+    return rows.where(~near).unionByName(rows.where(near).join(some, on, "left_anti"))
+
+
+def uncovered(rest: DataFrame) -> DataFrame:
+    """rest (sig, id, m and others) less the entries all of whose ids are in another one, which has their pairs too.
+
+    Each id has a largest entry. The least of these over an entry's ids is the one that may hold it; of entries that hold each other the largest stays.
+    """
+    rank = F.struct("m", "sig")
+    own = rest.select("sig", "id", rank.alias("rank"), F.max(rank).over(W.partitionBy("id")).alias("top"))
+    own = own.select("sig", "id", "rank", F.min("top").over(W.partitionBy("sig")).alias("by"))
+    # An id is once in an entry: of the ids of a row's other entry it is one if both stand in its own list of entries.
+    own = own.withColumn("all", F.collect_set("sig").over(W.partitionBy("id")))
+    held = own.groupBy("sig").agg(F.bool_and((F.col("by") > F.col("rank")) & F.array_contains("all", F.col("by.sig"))).alias("held")).where("held")
+    return rest.join(held.select("sig"), "sig", "left_anti")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of each document: the least doc_id reachable by links, itself included."""
     with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
         keep = scratch.keep
         with Scratch(docs.sparkSession) as first:
             whole = first.keep(summaries(docs, width, num, den))
-            rows = keep(whole.drop("sigs"))
+            rows = keep(whole.drop("sigs", "bits"))
             known = rows.where("n > 0 and doc_id is not null")
+            # Dealt by id once, as every join with it asks for.
+            info = scratch.dealt(whole.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "bits"), "id")
             same = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep != last")
             copies = first.keep(known.join(same, ["n", "d1", "d2"]).where("doc_id != rep").select("doc_id", "n", "d1", "d2", "rep").distinct())
             links = keep(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
             # An id whose texts differ in size has no one size, so its pairs are all made.
             sizes = first.keep(known.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low != high"))
-            own = whole.where("doc_id is not null").join(copies, ["doc_id", "n", "d1", "d2"], "left_anti").join(sizes, "doc_id", "left")
+            own = without(whole.where("doc_id is not null").drop("bits"), copies.drop("rep"), ["doc_id", "n", "d1", "d2"]).join(sizes, "doc_id", "left")
             own = own.select(F.col("doc_id").alias("id"), F.when(F.col("low").isNull(), F.col("n")).cast("int").alias("n"), F.explode("sigs").alias("sig"))
-            heads = own.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("np"), F.max("id").alias("last"), F.count("*").alias("m")).where("pivot != last")
-            shared = keep(own.join(heads.hint("merge"), "sig").select("sig", "id", "n", "pivot", "np", "m"))
-        info = known.select(F.col("doc_id").alias("id"), "n", "bits").distinct()
+            # A window and no join with a grouping: so the entries, the largest table by far, are shuffled once.
+            by = W.partitionBy("sig")
+            heads = own.select("sig", "id", "n", F.min("id").over(by).alias("pivot"), F.min_by("n", "id").over(by).alias("np"), F.max("id").over(by).alias("last"), F.count("*").over(by).alias("m"))
+            shared = keep(heads.where("pivot != last").drop("last"))
 
         comp = None  # the components of links, until there are new ones
 
@@ -375,14 +409,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         link(shared.where((F.col("id") != F.col("pivot")) & _like_sizes("n", "np", num, den)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
         # Entries of two are done. In the others a pivot has met all others and is left out from here on.
         rest = keep(labelled(shared.where("m > 2 and id != pivot")))
-        pivots = rest.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("np"), F.min_by("comp", "id").alias("of"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-        rest = keep(rest.join(pivots.select("sig", "pivot", "np", "of"), "sig").where("id != pivot"))
+        pivots = {"pivot": F.min("id"), "np": F.min_by("n", "id"), "of": F.min_by("comp", "id"), "low": F.min("comp"), "high": F.max("comp")}
+        rest = keep(rest.select("*", *(x.over(by).alias(c) for c, x in pivots.items())).where("low != high and id != pivot").drop("low", "high"))
         if not rest.isEmpty():
             link(rest.where((F.col("comp") != F.col("of")) & _like_sizes("n", "np", num, den)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-            rest = keep(labelled(rest))
+            rest = keep(labelled(keep(uncovered(rest))))
             cold, hot = rest.where(F.col("m") <= COLD), rest.where(F.col("m") > COLD)
-            left, right = (cold.select("sig", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"comp{k}")) for k in "ab")
-            pairs = left.join(right, "sig").where(F.expr("a < b and compa != compb") & _like_sizes("na", "nb", num, den)).select("a", "b")
+            # A pair is made in the least entry that both have, as far as the first SEEN of each tell.
+            cold = cold.withColumn("seen", F.slice(F.array_sort(F.collect_set("sig").over(W.partitionBy("id"))), 1, SEEN))
+            left, right = (cold.select("sig", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"comp{k}"), F.col("seen").alias(f"seen{k}")) for k in "ab")
+            pairs = left.join(right, "sig").where(F.expr("a < b and compa != compb and coalesce(array_min(array_intersect(seena, seenb)) >= sig, true)") & _like_sizes("na", "nb", num, den)).select("a", "b")
             link(pairs.union(_blocked(hot, info, num, den, True)).distinct())
             if not hot.isEmpty():
                 link(_blocked(labelled(hot), info, num, den, False))
