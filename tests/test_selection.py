@@ -189,3 +189,18 @@ def test_pairs_of_blocks_are_those_of_the_ratio():
         own = fuzzy.pd.DataFrame([(t, i % 2, bi, bj) for i, t in enumerate(titles) if i % 2 in (bi, bj)], columns=["low", "block", "bi", "bj"])
         got += fuzzy._pairs(own).itertuples(index=False, name=None)
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_novelty_finds_the_tokens_of_a_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(x):
+        seen.add(1)
+        return x.split() if x else None
+
+    items = spark.createDataFrame([(1, "a b c"), (2, "c d"), (3, None), (4, "x y z"), (5, "")], "id long, text string").select("id", words("text").alias("tokens"))
+    older = spark.createDataFrame([(1, "a b c d"), (2, "c d")], "old long, text string").select("old", words("text").alias("tokens"))
+    got = {r.id: r.n for r in likeness.novelty(items, "id", older, "old").collect()}
+    assert got == {1: 0.25, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0}
+    assert seen.value == 7
