@@ -148,12 +148,15 @@ def change_gate(proposals: DataFrame, verdicts: DataFrame, metrics: DataFrame, i
     """
     row = F.struct(F.col("verdict").alias("answer"), F.filter(F.coalesce("rubric_hits", F.expr("CAST(array() AS array<string>)")), lambda x: x.rlike("^CE-[1-5]$")).alias("hits"), F.coalesce("security_flag", F.lit(False)).alias("flag"))
     first = verdicts.where("proposal_id is not null").groupBy("proposal_id").agg(F.min_by(row, "seq").alias("_v"))
-    own = proposals.where("proposal_id is not null").join(first, "proposal_id", "left").withColumn("flagged_field", ordered_about({c: F.col(c) for c in ("summary", "rollback")}, {"evidence": F.col("evidence")}, more))
+    base = proposals.where("proposal_id is not null").withColumn("flagged_field", ordered_about({c: F.col(c) for c in ("summary", "rollback")}, {"evidence": F.col("evidence")}, more))
+    # Facts and tainted categories come from the proposals themselves: from joined rows each of them would do the joins again.
+    flagged = base.select("proposal_id", "category").join(first.where("_v.flag").select("proposal_id"), "proposal_id")
+    bad = base.where("flagged_field is not null").select("category").union(flagged.select("category")).distinct().withColumn("category_tainted", F.lit(True))
+    own = change_facts(base, metrics, in_flight, remaining, each).join(bad, "category", "left").join(first, "proposal_id", "left")
     own = own.withColumns({"answered": F.col("_v").isNotNull(), "answer": F.col("_v.answer"), "hits": F.coalesce("_v.hits", F.expr("CAST(array() AS array<string>)")), "tainted": F.col("flagged_field").isNotNull() | F.coalesce("_v.flag", F.lit(False)), "voided": F.lit(voided)}).drop("_v")
-    bad = own.where("tainted").select("category").distinct().withColumn("category_tainted", F.lit(True))
-    own = own.join(bad, "category", "left").withColumn("category_tainted", F.col("category_tainted").isNotNull())
+    own = own.withColumn("category_tainted", F.col("category_tainted").isNotNull())
     # The quota reads the rows three times, so what has been found out about them is written once.
-    own = Steps(own.sparkSession).result(change_facts(own, metrics, in_flight, remaining, each))
+    own = Steps(own.sparkSession).result(own)
     out = ruled(own, change_steps(each, max(0, remaining)), "seq").drop(NOTES)
     reason, just = F.col(REASON), lambda *names: F.array(*map(F.lit, names))
     hits = (
