@@ -1,6 +1,8 @@
 """Operators of tidemark.llm against plain versions, round trips and held-out labels, with nulls, empties and repeats."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -123,6 +125,40 @@ def test_entries_within_others_go_and_no_pair_is_lost(spark):
     assert sum(s < 100 for s in left) == 1 and not {200, 201} & set(left)
 
 
+def test_blocks_join_once_an_id_and_lose_no_pair(spark):
+    """Sizes and bitmaps meet ids and not their entries; few pairs are given whole, of many a forest that joins the same components."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 80, np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.integers(0, 4) :], rng.integers(0, 2**63, int(rng.integers(0, 40)), np.uint64)])) for _ in range(70)]
+    bits = jaccard.parities(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    info = spark.createDataFrame([(i, len(x), bytearray(b)) for i, (x, b) in enumerate(zip(sets, bits, strict=True))], "id long, n long, bits binary")
+    rest = spark.createDataFrame([(s, i, i // 3) for s in range(5) for i in range(70) if (i + s) % 5], "sig long, id long, comp long")
+    pairs = set()
+    for i, j in itertools.combinations(range(70), 2):
+        n = len(sets[i]) + len(sets[j])
+        if i // 3 != j // 3 and min(map(len, (sets[i], sets[j]))) * 100 >= 85 * max(map(len, (sets[i], sets[j]))) and jaccard._differing([bits[i]], [bits[j]])[0] <= n - 2 * -(-85 * n // 185):
+            pairs.add((i, j))
+    assert len(pairs) > 200
+    found = jaccard._blocked(rest, info, 85, 100, math.inf)
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+    assert len(joins) == 1 and "[id#" in joins[0]
+    block, jaccard.BLOCK = jaccard.BLOCK, 20
+    try:
+        whole, forest = (jaccard._blocked(rest, info, 85, 100, most).collect() for most in (math.inf, 0.1))
+    finally:
+        jaccard.BLOCK = block
+    assert all(r.whole for r in whole) and {tuple(sorted((r.a, r.b))) for r in whole} == pairs
+    assert not all(r.whole for r in forest) and len(forest) < len(whole) / 2
+
+    def joined(edges):
+        comp = [i // 3 for i in range(70)]
+        for a, b in edges:
+            comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+        return comp
+
+    assert joined((r.a, r.b) for r in forest) == joined(pairs)
+
+
 def test_without_is_an_anti_join(spark):
     rows = [(i, i % 3, i % 2) for i in range(-50, 3000)] * 2
     all_, some = spark.createDataFrame(rows, "doc_id long, n long, x long"), spark.createDataFrame([(i, 1) for i in range(1, 900, 7)], "doc_id long, n long")

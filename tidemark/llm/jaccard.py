@@ -15,8 +15,8 @@ component. A pair goes on if sizes allow a link and so do parity bitmaps of the
 so differing bits never exceed differing tokens); pairs that are left are verified on the sets themselves. What the
 pivots leave unjoined is compared whole, but for entries within another one: entries of at most COLD representatives give their pairs across
 components; in larger ones the main component meets the rest, and the rest itself, two blocks at a time, by size and
-bitmap: at first a forest of possible pairs is verified, which joins most components, then every possible
-pair across the rest. So nothing is left out.
+bitmap. Two blocks with few possible pairs have all of them verified; of others a forest of possible pairs is verified
+first, which joins most components, then every possible pair across what is left in their entries. So nothing is left out.
 
 Tokens are hashes, so sets are exact but for collisions of 64-bit values. Null and empty texts have no shingles, no
 links and n_shingles 0. A null doc_id is a document of its own for which component_id is null. Repeated rows of
@@ -25,6 +25,7 @@ one doc_id are returned each; they are one document, which links where any of it
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from tidemark.llm.common import Hasher, Scratch, kept, mixed, pieces, small_batc
 from tidemark.llm.components import components
 
 BUCKETS_BITS, COLD, BLOCK, SEEN = 20, 32, 4096, 64
+#: Possible pairs of two blocks, times their rows, up to which all are verified at once.
+FEW = 4
 #: Times the mean count of a bucket, plus the second number, above which tokens are taken in pairs and in triples.
 FREQUENT, VERY_FREQUENT = (2, 64), (8, 2048)
 _PLACE = mixed(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
@@ -289,8 +292,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "tokensa", "tokensb").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: list[tuple[int, int, int, int, bytes]], same_block: bool, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
-    """Possible pairs of different components among rows of id, comp, block, n and bits: all, or a spanning forest of them."""
+def _across(rows: list[tuple[int, int, int, int, bytes]], same_block: bool, num: int, den: int, most: float) -> tuple[list[tuple[int, int]], bool]:
+    """Possible pairs of different components among rows of id, comp, block, n and bits, and whether these are all: if there are more than `most`, a spanning forest of them."""
     ids, comp, block, n = (np.array([r[i] for r in rows], np.int64) for i in range(4))
     wide = sorted({len(r[4]) for r in rows})
     folded = {}  # for each bitmap size, the rows of that or a larger size, folded to it
@@ -300,44 +303,48 @@ def _across(rows: list[tuple[int, int, int, int, bytes]], same_block: bool, num:
         for i, r in enumerate(own):
             m[i] = np.bitwise_xor.reduce(np.frombuffer(rows[r][4], np.uint8).reshape(-1, w), 0)
         folded[w] = (own, m)
-    out = []
+    whole, forest, joined = [], [], comp.copy()  # joined: the components if all pairs of the forest link
     for i, r in enumerate(rows):
         own, m = folded[len(r[4])]
         ok = (comp[own] != comp[i]) & (n[own] * den >= n[i] * num) & (n[i] * den >= n[own] * num) & (same_block | (block[own] != block[i]))
         ok &= (n[own] > n[i]) | (n[own] == n[i]) & (ids[own] < ids[i])  # each pair once, from its smaller set
+        if len(whole) > most:
+            ok &= joined[own] != joined[i]
         at = own[ok]
         if not at.size:
             continue
         total = n[at] + n[i]
         near = at[np.bitwise_count(m[ok] ^ m[np.searchsorted(own, i)]).sum(1, dtype=np.int64) <= total - 2 * -(-num * total // (num + den))]
-        for j in near.tolist():
-            if comp[j] != comp[i]:
-                out.append((int(ids[i]), int(ids[j])))
-                if forest:
-                    comp[comp == comp[j]] = comp[i]
-    return out
+        if len(whole) <= most:
+            whole += [(int(ids[i]), int(ids[j])) for j in near]
+        while (near := near[joined[near] != joined[i]]).size:
+            forest.append((int(ids[i]), int(ids[near[0]])))
+            joined[joined == joined[near[0]]] = joined[i]
+    return (whole, True) if len(whole) <= most else (forest, False)
 
 
-def _blocked(rest: DataFrame, info: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Distinct possible pairs a, b across components in each entry (sig, id, comp).
+def _blocked(rest: DataFrame, info: DataFrame, num: int, den: int, most: float) -> DataFrame:
+    """Possible pairs a, b across components in each entry (sig, id, comp), block by block, and `whole`: false for those of two blocks with more than `most` pairs a row, of which it has a spanning forest.
 
     Blocks of the main component, the one with most rows, meet the blocks of the others only, so that an entry that is nearly all one component is compared in time proportional to its size.
     """
-    parts = rest.groupBy("sig", "comp").agg(F.count("*").alias("c"))
-    several = parts.groupBy("sig").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    # Windows of one shuffle and a list for each id, no joins of entries: so sizes and bitmaps are joined once an id and not once in each of its entries.
+    entry = W.partitionBy("sig")
+    counted = rest.select("sig", "id", "comp").repartition("sig").withColumn("c", F.count("*").over(W.partitionBy("sig", "comp")))
+    several = counted.select("*", F.max_by("comp", F.struct("c", "comp")).over(entry).alias("main"), F.max("c").over(entry).alias("most"), F.count("*").over(entry).alias("m")).where("most < m")
     others, mains = (F.ceil(x / BLOCK).cast("int") for x in (F.col("m") - F.col("most"), F.col("most")))
     is_main = F.col("comp") == F.col("main")
     hashed = F.xxhash64("id")
-    placed = rest.select("sig", "id", "comp").join(several, "sig").join(info, "id").withColumn("block", F.when(is_main, others + F.pmod(hashed, mains)).otherwise(F.pmod(hashed, others)).cast("int"))
-    meets = F.sequence(F.lit(0), F.when(is_main, others).otherwise(others + mains) - 1)
-    ids = F.transform(meets, lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    tiles = placed.select("id", "sig", "comp", "block", "n", "bits", F.explode(ids).alias("t")).select("id", "sig", "comp", "block", "n", "bits", "t.i", "t.j")
+    placed = several.withColumn("block", F.when(is_main, others + F.pmod(hashed, mains)).otherwise(F.pmod(hashed, others)).cast("int")).withColumn("meets", F.when(is_main, others).otherwise(others + mains))
+    own = placed.groupBy("id").agg(F.min("comp").alias("comp"), F.collect_list(F.struct("sig", "block", "meets")).alias("at")).join(info, "id")
+    tiles = F.flatten(F.transform("at", lambda x: F.transform(F.sequence(F.lit(0), x.meets - 1), lambda j: F.struct(x.sig.alias("sig"), x.block.alias("block"), F.least(x.block, j).alias("i"), F.greatest(x.block, j).alias("j")))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(pdf["id"], pdf["comp"], pdf["block"], pdf["n"], pdf["bits"], strict=True), key=lambda r: r[0])
-        return pd.DataFrame(_across(rows, bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]), num, den, forest), columns=["a", "b"]).astype("int64")
+        pairs, whole = _across(rows, bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]), num, den, most * len(rows))
+        return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64").assign(sig=pdf["sig"].iloc[0], whole=whole)
 
-    return tiles.groupBy("sig", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return own.select("id", "comp", "n", "bits", F.explode(tiles).alias("t")).select("id", "comp", "n", "bits", "t.*").groupBy("sig", "i", "j").applyInPandas(run, "a long, b long, sig long, whole boolean")
 
 
 def without(rows: DataFrame, some: DataFrame, on: list[str]) -> DataFrame:
@@ -419,9 +426,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
             cold = cold.withColumn("seen", F.slice(F.array_sort(F.collect_set("sig").over(W.partitionBy("id"))), 1, SEEN))
             left, right = (cold.select("sig", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"comp{k}"), F.col("seen").alias(f"seen{k}")) for k in "ab")
             pairs = left.join(right, "sig").where(F.expr("a < b and compa != compb and coalesce(array_min(array_intersect(seena, seenb)) >= sig, true)") & _like_sizes("na", "nb", num, den)).select("a", "b")
-            link(pairs.union(_blocked(hot, info, num, den, True)).distinct())
-            if not hot.isEmpty():
-                link(_blocked(labelled(hot), info, num, den, False))
+            blocked = keep(_blocked(hot, info, num, den, FEW))
+            link(pairs.union(blocked.select("a", "b")).distinct())
+            more = keep(blocked.where("not whole").select("sig").distinct())
+            if not more.isEmpty():
+                link(_blocked(labelled(hot.join(more, "sig", "left_semi")), info, num, den, math.inf).select("a", "b").distinct())
         ids = labels().withColumnRenamed("id", "doc_id")
         return kept(rows.join(ids, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")))
 
