@@ -76,6 +76,17 @@ def test_claims_don_t_pass_their_evidence(spark):
     assert [got[i].confidence_ceiling for i in range(5)] == ["verified", "snippet_inference", "snippet_inference", "unverified", "unverified"]
 
 
+def test_a_brief_is_joined_once(spark, tmp_path):
+    """The rules read the written rows, not the highlights again each time."""
+    rows = [(i, f"h{i % 3}" if i % 4 else None, "head", "body", "", "unverified", ["n1"], None, False) for i in range(20)]
+    spark.createDataFrame(rows, BRIEF).write.parquet(f"{tmp_path}/highlights")
+    items = spark.createDataFrame([("n1", False)], "item_id string, verified boolean")
+    out = gates.brief_gate(spark.read.parquet(f"{tmp_path}/highlights"), items, spark.createDataFrame([("c",)], "cluster_id string"), 7)
+    assert out.inputFiles() and not any(str(tmp_path) in x for x in out.inputFiles())
+    got = {r.seq: (r.highlight_id, r.drop_reason) for r in out.collect()}
+    assert [got[i] for i in range(4)] == [("h3", None), ("h1", None), ("h2", None), ("h0", None)] and got[4] == ("h4", None) and got[5] == ("h2", "duplicate") and got[12] == ("h6", "over_cap")
+
+
 def test_rules_of_a_brief_come_in_order(spark):
     rows = [
         {"security_flag": True, "confidence": "certain"}, {"evidence_ids": ["nowhere"], "cluster_id": "x"}, {"evidence_ids": []}, {"evidence_ids": None}, {"evidence_ids": ["v1", "v2", "n1", "n2", "v1"]},

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import capped, clamp01
+from tidemark.tables import Steps
 
 REASON, NOTES = "drop_reason", "gate_notes"
 
@@ -241,9 +242,11 @@ def brief_gate(highlights: DataFrame, candidates: DataFrame, clusters: DataFrame
     known = candidates.where("item_id is not null").groupBy(F.col("item_id").alias("_item")).agg(F.bool_or("verified").alias("_v"))
     facts = own.select("seq", F.explode("evidence_ids").alias("_item")).join(known, "_item").groupBy("seq").agg(F.count("*").alias("n_known"), F.count_if("_v").alias("n_verified"))
     real = clusters.select("cluster_id").where("cluster_id is not null").distinct().withColumn("cluster_known", F.lit(True))
-    own = own.join(facts, "seq", "left").join(real, "cluster_id", "left").fillna(0, ["n_known", "n_verified"]).withColumn("cluster_known", F.col("cluster_known").isNotNull())
+    own = _numbered(own, by).join(facts, "seq", "left").join(real, "cluster_id", "left").fillna(0, ["n_known", "n_verified"]).withColumn("cluster_known", F.col("cluster_known").isNotNull())
     own = own.withColumn("confidence_ceiling", ceiling(F.size("evidence_ids"), F.col("n_verified")))
-    return ruled(_numbered(own, by), brief_steps(days, by), "seq").drop("n_known", "n_verified", "cluster_known")
+    # The rules read their rows several times over, so what is joined here is written once.
+    own = Steps(own.sparkSession).result(own)
+    return ruled(own, brief_steps(days, by), "seq").drop("n_known", "n_verified", "cluster_known")
 
 
 def _numbered(rows: DataFrame, by: str) -> DataFrame:
