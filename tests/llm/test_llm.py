@@ -125,6 +125,33 @@ def test_entries_within_others_go_and_no_pair_is_lost(spark):
     assert sum(s < 100 for s in left) == 1 and not {200, 201} & set(left)
 
 
+def test_overlapping_entries_are_compared_as_one(spark):
+    """A passage's documents, each in most of forty entries, make one row each; entries that overlap little stay; no pair within an entry is lost."""
+    rng = random.Random(9)
+    sets = {s: {i for i in range(120) if rng.random() < 0.8} for s in range(40)} | {100 + s: set(range(200 + 45 * s, 250 + 45 * s)) for s in range(6)}
+    rows = [(s, i, None if i % 7 else i, len(x), i // 3) for s, x in sets.items() for i in x]
+    with Scratch(spark) as scratch:
+        got = jaccard.united(spark.createDataFrame(rows, "sig long, id long, n int, m long, comp long"), scratch).collect()
+    left = {}
+    for r in got:
+        left.setdefault(r.sig, set()).add(r.id)
+        assert r.comp == r.id // 3 and r.n == (None if r.id % 7 else r.id)
+    pairs = lambda own: {(a, b) for x in own.values() for a in x for b in x if a < b}
+    assert pairs(sets) <= pairs(left) and all(r.m == len(left[r.sig]) for r in got) and len(got) == len({(r.sig, r.id) for r in got})
+    assert sum(map(len, sets.values())) > 4000 and sum(r.id < 120 for r in got) == 120
+    assert sorted(map(sorted, (x for x in left.values() if min(x) >= 200))) == sorted(map(sorted, (x for s, x in sets.items() if s >= 100)))
+
+
+def test_an_entry_of_one_block_makes_a_row_each(spark, monkeypatch):
+    """Rows are repeated for the blocks that they meet only in entries beyond BLOCK; the pairs are the same."""
+    info = spark.createDataFrame([(i, 100, bytearray(32)) for i in range(60)], "id long, n long, bits binary")
+    rest = spark.createDataFrame([(1, i, 0 if i < 40 else i) for i in range(60)], "sig long, id long, comp long")
+    assert jaccard._tiles(rest, info).count() == 60
+    for block in (4096, 16):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert jaccard._blocked(rest, info, 85, 100, math.inf).select("a", "b").distinct().count() == 20 * 40 + 190
+
+
 def test_blocks_join_once_an_id_and_lose_no_pair(spark):
     """Sizes and bitmaps meet ids and not their entries; few pairs are given whole, of many a forest that joins the same components."""
     rng = np.random.default_rng(4)

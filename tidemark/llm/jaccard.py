@@ -14,7 +14,8 @@ id is a pivot that is paired with those of the rest whose sizes allow a link, th
 component. A pair goes on if sizes allow a link and so do parity bitmaps of the sets (bits of equal place cancel,
 so differing bits never exceed differing tokens); pairs that are left are verified on the sets themselves. What the
 pivots leave unjoined is compared whole, but for entries within another one: entries of at most COLD representatives give their pairs across
-components; in larger ones the main component meets the rest, and the rest itself, two blocks at a time, by size and
+components; larger ones are first united with those that share most of their ids, so that a passage's documents are compared once
+and not in each of its entries, and then the main component meets the rest, and the rest itself, two blocks at a time, by size and
 bitmap. Two blocks with few possible pairs have all of them verified; of others a forest of possible pairs is verified
 first, which joins most components, then every possible pair across what is left in their entries. So nothing is left out.
 
@@ -323,28 +324,34 @@ def _across(rows: list[tuple[int, int, int, int, bytes]], same_block: bool, num:
     return (whole, True) if len(whole) <= most else (forest, False)
 
 
-def _blocked(rest: DataFrame, info: DataFrame, num: int, den: int, most: float) -> DataFrame:
-    """Possible pairs a, b across components in each entry (sig, id, comp), block by block, and `whole`: false for those of two blocks with more than `most` pairs a row, of which it has a spanning forest.
+def _tiles(rest: DataFrame, info: DataFrame) -> DataFrame:
+    """id, comp, n, bits, sig, block, i and j: each row of the entries (sig, id, comp) that hold several components, once for each pair of blocks (i, j) that it is in.
 
-    Blocks of the main component, the one with most rows, meet the blocks of the others only, so that an entry that is nearly all one component is compared in time proportional to its size.
+    An entry of BLOCK rows at most is one block. In larger ones blocks of the main component, the one with most rows, meet the blocks of the others only, so that an entry that is nearly all one component is compared in time proportional to its size.
     """
     # Windows of one shuffle and a list for each id, no joins of entries: so sizes and bitmaps are joined once an id and not once in each of its entries.
     entry = W.partitionBy("sig")
     counted = rest.select("sig", "id", "comp").repartition("sig").withColumn("c", F.count("*").over(W.partitionBy("sig", "comp")))
     several = counted.select("*", F.max_by("comp", F.struct("c", "comp")).over(entry).alias("main"), F.max("c").over(entry).alias("most"), F.count("*").over(entry).alias("m")).where("most < m")
-    others, mains = (F.ceil(x / BLOCK).cast("int") for x in (F.col("m") - F.col("most"), F.col("most")))
-    is_main = F.col("comp") == F.col("main")
+    small = F.col("m") <= BLOCK
+    others, mains = (F.when(small, n).otherwise(F.ceil(x / BLOCK)).cast("int") for n, x in ((1, F.col("m") - F.col("most")), (0, F.col("most"))))
+    is_main = (F.col("comp") == F.col("main")) & ~small
     hashed = F.xxhash64("id")
     placed = several.withColumn("block", F.when(is_main, others + F.pmod(hashed, mains)).otherwise(F.pmod(hashed, others)).cast("int")).withColumn("meets", F.when(is_main, others).otherwise(others + mains))
     own = placed.groupBy("id").agg(F.min("comp").alias("comp"), F.collect_list(F.struct("sig", "block", "meets")).alias("at")).join(info, "id")
     tiles = F.flatten(F.transform("at", lambda x: F.transform(F.sequence(F.lit(0), x.meets - 1), lambda j: F.struct(x.sig.alias("sig"), x.block.alias("block"), F.least(x.block, j).alias("i"), F.greatest(x.block, j).alias("j")))))
+    return own.select("id", "comp", "n", "bits", F.explode(tiles).alias("t")).select("id", "comp", "n", "bits", "t.*")
+
+
+def _blocked(rest: DataFrame, info: DataFrame, num: int, den: int, most: float) -> DataFrame:
+    """Possible pairs a, b across components in each entry (sig, id, comp), block by block, and `whole`: false for those of two blocks with more than `most` pairs a row, of which it has a spanning forest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(pdf["id"], pdf["comp"], pdf["block"], pdf["n"], pdf["bits"], strict=True), key=lambda r: r[0])
         pairs, whole = _across(rows, bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]), num, den, most * len(rows))
         return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64").assign(sig=pdf["sig"].iloc[0], whole=whole)
 
-    return own.select("id", "comp", "n", "bits", F.explode(tiles).alias("t")).select("id", "comp", "n", "bits", "t.*").groupBy("sig", "i", "j").applyInPandas(run, "a long, b long, sig long, whole boolean")
+    return _tiles(rest, info).groupBy("sig", "i", "j").applyInPandas(run, "a long, b long, sig long, whole boolean")
 
 
 def without(rows: DataFrame, some: DataFrame, on: list[str]) -> DataFrame:
@@ -368,6 +375,21 @@ def uncovered(rest: DataFrame) -> DataFrame:
     return rest.join(held.select("sig"), "sig", "left_anti")
 
 
+def united(rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """rest (sig, id, n, m, comp) with the entries that share most of their ids made one, which has the pairs of each, wherever that compares no more pairs than they do singly.
+
+    Each id has a largest entry, and an entry goes to the one that is so for most of its ids. m becomes the number of rows, sig a new one where entries are united.
+    """
+    by, of = W.partitionBy("sig"), W.partitionBy("sig", "top")
+    top = rest.withColumn("top", F.max(F.struct("m", "sig")).over(W.partitionBy("id"))["sig"]).repartition("sig").withColumn("c", F.count("*").over(of))
+    goes = top.withColumn("into", F.max_by("top", F.struct("c", "top")).over(by)).withColumn("m", F.count("*").over(by))
+    # An entry has m rows, so the sum of m over rows is that of the entries' squares.
+    each = scratch.keep(goes.groupBy("into", "id").agg(F.min("n").alias("n"), F.min("comp").alias("comp"), F.sum("m").alias("pairs"), F.collect_set(F.struct("sig", "m")).alias("at")))
+    fits = each.groupBy("into").agg(F.count("*").alias("all"), F.sum("pairs").alias("pairs")).where(F.col("all").cast("double") * F.col("all") <= F.col("pairs"))
+    at = F.when(F.col("all").isNull(), F.col("at")).otherwise(F.array(F.struct(F.xxhash64("into").alias("sig"), F.col("all").alias("m"))))
+    return each.drop("pairs").join(fits.drop("pairs"), "into", "left").select("id", "n", "comp", F.explode(at).alias("e")).select("e.sig", "id", "n", "e.m", "comp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of each document: the least doc_id reachable by links, itself included."""
     with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
@@ -421,7 +443,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         if not rest.isEmpty():
             link(rest.where((F.col("comp") != F.col("of")) & _like_sizes("n", "np", num, den)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
             rest = keep(labelled(keep(uncovered(rest))))
-            cold, hot = rest.where(F.col("m") <= COLD), rest.where(F.col("m") > COLD)
+            cold, hot = rest.where(F.col("m") <= COLD), keep(united(rest.where(F.col("m") > COLD), scratch))
             # A pair is made in the least entry that both have, as far as the first SEEN of each tell.
             cold = cold.withColumn("seen", F.slice(F.array_sort(F.collect_set("sig").over(W.partitionBy("id"))), 1, SEEN))
             left, right = (cold.select("sig", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"comp{k}"), F.col("seen").alias(f"seen{k}")) for k in "ab")
