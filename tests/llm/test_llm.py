@@ -125,6 +125,14 @@ def test_entries_within_others_go_and_no_pair_is_lost(spark):
     assert sum(s < 100 for s in left) == 1 and not {200, 201} & set(left)
 
 
+def test_entries_within_others_go_without_a_join_of_entries(spark):
+    """Other columns stay, and a null among them does no harm."""
+    rows = [(s, i, None if i == 2 else 9, len(x)) for s, x in {1: range(5), 2: range(1, 4), 3: range(3, 8), 4: range(5)}.items() for i in x]
+    found = jaccard.uncovered(spark.createDataFrame(rows, "sig long, id long, n int, m long"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[:2]) == sorted((r for r in rows if r[0] in (3, 4)), key=lambda r: r[:2])
+
+
 def test_overlapping_entries_are_compared_as_one(spark):
     """A passage's documents, each in most of forty entries, make one row each; entries that overlap little stay; no pair within an entry is lost."""
     rng = random.Random(9)

@@ -367,12 +367,12 @@ def uncovered(rest: DataFrame) -> DataFrame:
     Each id has a largest entry. The least of these over an entry's ids is the one that may hold it; of entries that hold each other the largest stays.
     """
     rank = F.struct("m", "sig")
-    own = rest.select("sig", "id", rank.alias("rank"), F.max(rank).over(W.partitionBy("id")).alias("top"))
-    own = own.select("sig", "id", "rank", F.min("top").over(W.partitionBy("sig")).alias("by"))
+    own = rest.select("*", rank.alias("rank"), F.max(rank).over(W.partitionBy("id")).alias("top"))
+    own = own.withColumn("by", F.min("top").over(W.partitionBy("sig"))).drop("top")
     # An id is once in an entry: of the ids of a row's other entry it is one if both stand in its own list of entries.
-    own = own.withColumn("all", F.collect_set("sig").over(W.partitionBy("id")))
-    held = own.groupBy("sig").agg(F.bool_and((F.col("by") > F.col("rank")) & F.array_contains("all", F.col("by.sig"))).alias("held")).where("held")
-    return rest.join(held.select("sig"), "sig", "left_anti")
+    own = own.withColumn("in", (F.col("by") > F.col("rank")) & F.array_contains(F.collect_set("sig").over(W.partitionBy("id")), F.col("by.sig")))
+    # A window and no join with the entries that are held, as rows are many for an entry.
+    return own.select(*rest.columns, F.bool_and("in").over(W.partitionBy("sig")).alias("held")).where("not held").drop("held")
 
 
 def united(rest: DataFrame, scratch: Scratch) -> DataFrame:
@@ -442,7 +442,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         rest = keep(rest.select("*", *(x.over(by).alias(c) for c, x in pivots.items())).where("low != high and id != pivot").drop("low", "high"))
         if not rest.isEmpty():
             link(rest.where((F.col("comp") != F.col("of")) & _like_sizes("n", "np", num, den)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-            rest = keep(labelled(keep(uncovered(rest))))
+            rest = keep(labelled(keep(uncovered(rest.select("sig", "id", "n", "m")))))
             cold, hot = rest.where(F.col("m") <= COLD), keep(united(rest.where(F.col("m") > COLD), scratch))
             # A pair is made in the least entry that both have, as far as the first SEEN of each tell.
             cold = cold.withColumn("seen", F.slice(F.array_sort(F.collect_set("sig").over(W.partitionBy("id"))), 1, SEEN))
